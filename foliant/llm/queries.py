@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, media, packing
+from . import bpe, exact_dedup, html_text, media, packing, simhash, url_filter
 from .common import table
 
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -27,15 +27,28 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), PLAIN, PATTERN)
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe(media.store_texts(table(spark, sf_dir, "documents")))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_exact_dedup, op3_byte_bpe, op4_packing, op7_media)
+    f.__name__: f for f in (op2_exact_dedup, op3_byte_bpe, op4_packing, op5_url_filter, op6_html_text, op7_media, op9_simhash)
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_url_filter": url_filter.sql(),
     "op2_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
              g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
