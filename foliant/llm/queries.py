@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_text, media, packing, simhash, suffix_dedup, url_filter
+from . import bpe, exact_dedup, html_text, media, packing, simhash, suffix_dedup, toxicity, url_filter
 from .common import table
 
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -39,6 +39,10 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe(media.store_texts(table(spark, sf_dir, "documents")))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_exact_dedup, op3_byte_bpe, op4_packing, op5_url_filter, op6_html_text, op7_media, op9_simhash, op10_suffix_dedup)
+    f.__name__: f for f in (op2_exact_dedup, op3_byte_bpe, op4_packing, op5_url_filter, op6_html_text, op7_media, op8_toxicity, op9_simhash, op10_suffix_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
