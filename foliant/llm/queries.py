@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_text, media, packing, simhash, suffix_dedup, toxicity, url_filter
+from . import bpe, exact_dedup, html_text, lm_score, media, packing, simhash, suffix_dedup, toxicity, url_filter
 from .common import table
 
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -15,6 +15,10 @@ PLAIN = public_tokenizers.path("byte_bpe_50k.json")
 PATTERN = public_tokenizers.PATTERN
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), hash_all=True)
 
@@ -52,7 +56,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_exact_dedup, op3_byte_bpe, op4_packing, op5_url_filter, op6_html_text, op7_media, op8_toxicity, op9_simhash, op10_suffix_dedup)
+    f.__name__: f for f in (op1_lm_score, op2_exact_dedup, op3_byte_bpe, op4_packing, op5_url_filter, op6_html_text, op7_media, op8_toxicity, op9_simhash, op10_suffix_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
