@@ -215,3 +215,165 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = stored(rooted.join(least, "root").select("fp", "component_id"), "named")
     out = rows.join(named, "fp", "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# --- wide fingerprints -------------------------------------------------------------------------
+
+#: 64-bit words of a wide fingerprint, and how many of their bits may differ at a similarity of
+#: 0.8: two sets of equal size with Jaccard similarity J have a cosine of 2J / (1 + J), and so
+#: arccos(0.889) / pi = 0.151 of the bits differ (78 of 512; standard deviation 8).
+WORDS, WIDE_RADIUS = 8, 90
+#: Bits that may differ in the first word; it sifts pairs before the others are read.
+SIFT = 22
+#: Sizes of sets whose similarity reaches 0.765 (WIDE_RADIUS) lie within two of these steps.
+SIZE_STEP = 0.134
+
+
+def wide_fingerprint(text: bytes, shingle: int = 5) -> tuple[bytes, int]:
+    """512 bits over the distinct word shingles, and the number of shingles."""
+    words = text.lower().split()
+    if not words:
+        return b"\0" * 8 * WORDS, 0
+    h = xxhash.xxh64_intdigest
+    if len(words) <= shingle:
+        seen = {h(b" ".join(words), 42)}
+    else:
+        seen = {h(b" ".join(s), 42) for s in zip(*(words[k:] for k in range(shingle)))}
+    v, out = np.array(sorted(seen), np.uint64), []
+    for w in range(WORDS):
+        x = (v + np.uint64(w * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(32)
+        count = np.zeros(64, np.int64)
+        for k in range(0, len(x), STEP):
+            count += np.unpackbits(x[k : k + STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(np.packbits(count * 2 > len(x), bitorder="little"))
+    return np.concatenate(out).tobytes(), len(v)
+
+
+def wide_links(a: np.ndarray, b: np.ndarray | None, radius: int = WIDE_RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Places ``(x, y)`` of a forest over the rows of a (and of b, after those of a): each linked
+    row with the first of its part."""
+    right = a if b is None else b
+    rows, shift = len(a) + (0 if b is None else len(b)), 0 if b is None else len(a)
+    label = np.arange(rows)
+    ones = [np.bitwise_count(m).sum(1, dtype=np.int64) for m in (a, right)]
+    for k in range(0, len(a), 256):
+        part = ones[0][k : k + 256]
+        if part.min() - ones[1].max() > radius or ones[1].min() - part.max() > radius:
+            continue
+        x, y = np.nonzero(np.bitwise_count(a[k : k + 256, :1] ^ right[None, :, 0]) <= SIFT)
+        x = x + k
+        if b is None:
+            x, y = x[x < y], y[x < y]
+        near = [np.bitwise_count(a[x[s : s + 65536]] ^ right[y[s : s + 65536]]).sum(1, dtype=np.int64) <= radius for s in range(0, len(x), 65536)]
+        if near:
+            near = np.concatenate(near)
+            x, y = x[near], y[near] + shift
+        while len(x):
+            lx, ly = label[x], label[y]
+            if (lx == ly).all():
+                break
+            low = np.minimum(lx, ly)
+            np.minimum.at(label, lx, low)
+            np.minimum.at(label, ly, low)
+            while (label != label[label]).any():
+                label = label[label]
+    moved = np.flatnonzero(label != np.arange(rows))
+    return moved, label[moved]
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, block: int = 1024) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group the row of the smallest id stays.
+
+    Two texts are near copies if their sets of five-word shingles have a Jaccard similarity of
+    0.8 or more, as 512-bit SimHashes show it; groups are what such links connect.  Tiles are
+    steps of set size, since similar sets have similar sizes; blocks are compared in full.
+
+    Defined cases: texts without words form one group; null ids come last; of rows that repeat
+    id and text one stays; an empty table gives an empty result; columns stay as they are and
+    may have any names.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    k1, k2 = F.xxhash64(text), F.xxhash64(F.lit(77), text)
+    plain = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), k1.alias("k1"), k2.alias("k2"))
+    kind = plain.schema["doc_id"].dataType.simpleString()
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", 4 << 20):
+            view, offsets = raw_bytes(b.column("text"))
+            made = [wide_fingerprint(view[a:z].tobytes(), shingle) for a, z in itertools.pairwise(offsets.tolist())]
+            size = np.array([n for _, n in made], np.int64)
+            tile = np.where(size > 0, 1 + np.floor(np.log(np.maximum(size, 1)) / SIZE_STEP), 0).astype(np.int64)
+            yield pa.record_batch([b.column("doc_id"), b.column("k1"), b.column("k2"), pa.array([f for f, _ in made], pa.binary()), pa.array(tile)], ["doc_id", "k1", "k2", "fp", "tile"])
+
+    signed = stored(plain.mapInArrow(sign, f"doc_id {kind}, k1 long, k2 long, fp binary, tile long"), "signed")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("k1"), F.col("k2")))
+    distinct = signed.groupBy("fp", "tile").agg(first.alias("first")).withColumn("node", F.monotonically_increasing_id())
+    distinct = stored(distinct, "distinct")
+    counts = {r["tile"]: r["n"] for r in distinct.groupBy("tile").agg(F.count("*").alias("n")).collect()}  # a few hundred rows
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = shared.value
+        home = {t: -(-n // block) for t, n in sizes.items()}
+        guests = {t: -(-(sizes.get(t - 1, 0) + sizes.get(t - 2, 0)) // block) for t in sizes}
+        names = ["unit", "role", "node", "fp"]
+        for b in batches:
+            out: list[tuple[int, int, int, bytes]] = []
+            for node, tile, fp in zip(*(b.column(c).to_pylist() for c in ("node", "tile", "fp")), strict=True):
+                mixed = node * 0x9E3779B1 >> 7
+                i = mixed % home[tile]
+                for j in range(home[tile]):
+                    out.append((tile << 44 | min(i, j) << 22 | max(i, j), int(j < i), node, fp))
+                for g in range(guests[tile]):
+                    out.append((tile << 44 | i << 22 | (home[tile] + g), 0, node, fp))
+                for up in (tile + 1, tile + 2):
+                    if up in home and tile:
+                        g = mixed % guests[up]
+                        out += [(up << 44 | k << 22 | (home[up] + g), 1, node, fp) for k in range(home[up])]
+                if len(out) > 20_000:
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int8(), pa.int64(), pa.binary()), strict=True)], names)
+                    out = []
+            if out:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int8(), pa.int64(), pa.binary()), strict=True)], names)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solve(unit: int, role: list[np.ndarray], node: list[np.ndarray], fp: list[bytes]) -> pa.RecordBatch:
+            r, n, f = np.concatenate(role), np.concatenate(node), np.frombuffer(b"".join(fp), "<u8").reshape(-1, WORDS)
+            if (unit >> 22 & 0x3FFFFF) == (unit & 0x3FFFFF):
+                x, y = wide_links(f, None)
+            else:
+                n, (x, y) = np.concatenate([n[r == 0], n[r == 1]]), wide_links(f[r == 0], f[r == 1]) if (r == 0).any() and (r == 1).any() else (np.zeros(0, np.int64),) * 2
+            return pa.record_batch([pa.array(n[x]), pa.array(n[y])], ["u", "v"])
+
+        now, role, node, fp = None, [], [], []
+        for b in batches:
+            unit = b.column("unit").to_numpy()
+            cuts = np.flatnonzero(np.diff(unit)) + 1
+            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(unit)], strict=True):
+                if s == e:
+                    continue
+                if now is not None and unit[s] != now:
+                    yield solve(now, role, node, fp)
+                    role, node, fp = [], [], []
+                now = int(unit[s])
+                part = b.slice(s, e - s)
+                role.append(part.column("role").to_numpy())
+                node.append(part.column("node").to_numpy())
+                fp += part.column("fp").to_pylist()
+        if now is not None:
+            yield solve(now, role, node, fp)
+
+    units = distinct.select("node", "tile", "fp").mapInArrow(deal, "unit long, role byte, node long, fp binary")
+    edges = units.repartition("unit").sortWithinPartitions("unit").mapInArrow(compare, "u long, v long")
+    roots = components(edges)
+    rooted = distinct.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
+    kept = stored(rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("id"), F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2")), "kept")
+    kept = kept.select(F.col("id").alias("\x01id"), F.col("k1").alias("\x01k1"), F.col("k2").alias("\x01k2"))
+    again = stored(signed.groupBy("doc_id", "k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select(F.col("k1").alias("\x01k1"), F.col("k2").alias("\x01k2"), F.lit(True).alias("\x01again")).distinct(), "again")
+    kept = kept.join(again, ["\x01k1", "\x01k2"], "left")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    joined = docs.join(kept, (k1 == F.col("\x01k1")) & (k2 == F.col("\x01k2")) & F.col(id_col).eqNullSafe(F.col("\x01id")))
+    once = joined.where(F.col("\x01again").isNull()).select(*names)
+    return once.unionByName(joined.where("`\x01again`").dropDuplicates(["\x01k1", "\x01k2"]).select(*names))

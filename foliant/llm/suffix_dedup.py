@@ -26,9 +26,10 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import raw_bytes, slices, stored
@@ -217,10 +218,9 @@ def digests(context: bytes, window: int) -> np.ndarray:
 # --- Spark -----------------------------------------------------------------------------------
 
 
-def _keys(view: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-    raw = [view[a:z].tobytes() for a, z in itertools.pairwise(offsets.tolist())]
-    digest = b"".join([xxhash.xxh3_128_digest(x) for x in raw])
-    return raw, np.frombuffer(digest, "<i8").reshape(-1, 2)
+def _key(text: Column) -> tuple[Column, Column]:
+    """128 bits that stand for a text."""
+    return F.xxhash64(text), F.xxhash64(F.lit(77), text)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[pa.Table]:
@@ -248,13 +248,15 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans``; and the texts of candidates ``k1, k2, text``."""
     if not 1 <= gram <= window:
         raise ValueError("gram must lie between 1 and window")
-    plain = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    k1, k2 = _key(text)
+    plain = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), k1.alias("k1"), k2.alias("k2"))
     kind = plain.schema["doc_id"].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", CHUNK):
             view, offsets = raw_bytes(b.column("text"))
-            raw, keys = _keys(view, offsets)
+            raw = [view[a:z].tobytes() for a, z in itertools.pairwise(offsets.tolist())]
             runs = []
             for x in raw:
                 h, anchor, first, last = anchor_runs(np.frombuffer(x, np.uint8), window, gram)
@@ -262,7 +264,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             sizes = [len(r) for r in runs]
             flat = np.concatenate(runs)
             packed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in flat.T], ["h", "a", "s", "e"]))
-            yield pa.record_batch([b.column(0), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(np.diff(offsets)), pa.array([hashlib.sha256(x).hexdigest() for x in raw]), packed], ["doc_id", "k1", "k2", "n_bytes", "sha", "runs"])
+            yield pa.record_batch([b.column(0), b.column("k1"), b.column("k2"), pa.array(np.diff(offsets)), pa.array([hashlib.sha256(x).hexdigest() for x in raw]), packed], ["doc_id", "k1", "k2", "n_bytes", "sha", "runs"])
 
     signed = stored(plain.mapInArrow(sign, f"doc_id {kind}, k1 long, k2 long, n_bytes long, sha string, runs array<struct<h:long,a:long,s:long,e:long>>"), "signed")
     copies = stored(signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "copies")
@@ -274,13 +276,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = records.join(hashes, "h").groupBy("k1", "k2").agg(F.collect_set(F.struct("h", "n", "a", "s", "e")).alias("found"))
     wanted = stored(found.join(copies, ["k1", "k2"]).select("k1", "k2", "rep", "found"), "wanted")
 
-    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 8 << 20):
-            _, keys = _keys(*raw_bytes(b.column("text")))
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(keys[:, 0]), pa.array(keys[:, 1])], ["doc_id", "text", "k1", "k2"])
-
     # of copies the row of the smallest id stands for all
-    keyed = plain.where(F.octet_length("text") >= window).mapInArrow(key, f"doc_id {kind}, text string, k1 long, k2 long")
+    keyed = plain.where(F.octet_length("text") >= window)
     texts = stored(keyed.join(wanted, ["k1", "k2"]).where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("k1", "k2", "found", "text"), "texts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,3 +392,31 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.when(all_, F.lit(empty)).otherwise(F.coalesce("kept_sha", "sha")).alias("kept_sha256"),
         *(["k1", "k2", F.when(all_, F.lit(b"")).otherwise(F.col("kept")).alias("kept")] if keep_bytes else []),
     )
+
+
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """``docs`` with repeated spans cut out of the texts; all rows and other columns stay.
+
+    Bytes of a character that a span cuts through go with it.  A column ``n_chars`` of whole
+    numbers, if there is one, follows the text.  Null texts stay null.
+    """
+    changed = remove_repeats(docs, id_col, text_col, window, gram, keep_bytes=True).where("n_removed > 0")
+    changed = stored(changed.groupBy("k1", "k2").agg(F.first("kept").alias("kept")), "changed")
+
+    @F.pandas_udf("string")
+    def decoded(column: pd.Series) -> pd.Series:
+        return column.map(lambda x: None if x is None else bytes(x).decode("utf-8", "ignore"))
+
+    changed = changed.select(F.col("k1").alias("\x01k1"), F.col("k2").alias("\x01k2"), decoded("kept").alias("\x01kept"))
+    k1, k2 = _key(F.coalesce(F.col(text_col), F.lit("")))
+    joined = docs.join(changed, (k1 == F.col("\x01k1")) & (k2 == F.col("\x01k2")), "left")
+    hit = F.col("\x01kept").isNotNull()
+    out = []
+    for name, kind in docs.dtypes:
+        col = F.col(f"`{name}`")
+        if name == text_col:
+            col = F.when(hit, F.col("\x01kept")).otherwise(col)
+        elif name == "n_chars" and kind in ("bigint", "int"):
+            col = F.when(hit, F.length("\x01kept").cast(kind)).otherwise(col)
+        out.append(col.alias(name))
+    return joined.select(*out)
