@@ -90,7 +90,7 @@ def read_records(spark: SparkSession, path: str, tag: str) -> DataFrame:
     numbered from 1 in order; the file is split between tasks."""
     lines = spark.read.option("lineSep", f"</{tag}>").text(path).withColumn("n", F.monotonically_increasing_id())
     body = F.regexp_extract("value", rf"(?s)(<{tag}(?:\s[^>]*)?>.*)$", 1)
-    return number(lines.select("n", body.alias("body")).where("body <> ''").select("n", F.concat("body", F.lit(f"</{tag}>")).alias("content")))
+    return number(lines.select("n", body.alias("body")).where("body <> ''").select("n", F.concat("body", F.lit(f"</{tag}>")).alias("content"))).select("n", "content")
 
 
 def number(rows: DataFrame) -> DataFrame:
