@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -12,35 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space of the contracts: U+0020 and U+0009 to U+000D.
-SPACE = r"[\x20\x09-\x0D]+"
-
-
-def work_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors: ``spark.checkpoint.dir``.
-
-    Where the setting is absent (tests, notebooks) a temporary folder is made, but only for
-    a local master: on a cluster no machine-local folder is ever used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="foliant-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
+from ..storage import stored, work_dir
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+__all__ = ["SPACE", "crc", "crc_mod", "raw_bytes", "slices", "stored", "table", "texts", "work_dir"]
 
-    This cuts lineage: a lost executor costs a re-read, never a recomputation, and values
-    that are not reproducible (row numbers) are fixed once for all later uses.
-    """
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/foliant/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: White space of the contracts: U+0020 and U+0009 to U+000D.
+SPACE = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
