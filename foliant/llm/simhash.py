@@ -225,6 +225,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 WORDS, WIDE_RADIUS = 8, 90
 #: Bits that may differ in the first word; it sifts pairs before the others are read.
 SIFT = 22
+#: Rows of a block of wide fingerprints (1 MB).  A row is sent to each block of the tiles near
+#: its own, so larger blocks mean less shuffling.
+WIDE_BLOCK = 16_384
 #: Sizes of sets whose similarity reaches 0.765 (WIDE_RADIUS) lie within two of these steps.
 SIZE_STEP = 0.134
 
@@ -283,7 +286,7 @@ def wide_links(a: np.ndarray, b: np.ndarray | None, radius: int = WIDE_RADIUS) -
     return moved, label[moved]
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, block: int = 1024) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, block: int = WIDE_BLOCK) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group the row of the smallest id stays.
 
     Two texts are near copies if their sets of five-word shingles have a Jaccard similarity of
