@@ -37,6 +37,8 @@ from .common import raw_bytes, slices, stored
 WINDOW, GRAM = 400, 100
 #: Records of a shard; about 550 bytes each.
 SHARD = 4000
+#: Ranges of digests for each shard of an anchor that has several; a range is one merge.
+RANGES = 64
 #: Bytes of text whose anchors are found at a time.
 CHUNK = 1 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -311,13 +313,28 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             runs = np.concatenate([spans[w] for w in which]).reshape(-1, 2)
             none = np.full(len(rep), -1, np.int64)
             yield pa.record_batch([pa.array(k1[rep]), pa.array(k2[rep]), pa.array(s[rep] + runs[:, 0]), pa.array(s[rep] + runs[:, 1] + window), pa.array(none), pa.array(none), pa.nulls(len(rep), pa.binary())], NAMES)
-            for r in np.flatnonzero(parts > 1).tolist():
-                w = which[r]
-                d = digests(distinct[w], window)
-                part = np.frombuffer(b"".join(x.ljust(16, b"\0")[:4] for x in d.tolist()), ">u4").astype(np.int64) * int(parts[r]) >> 32
-                single = ~(flags[w] | bool(often[w]))
-                m = len(d)
-                yield pa.record_batch([pa.array(np.full(m, k1[r])), pa.array(np.full(m, k2[r])), pa.array(s[r] + np.arange(m)), pa.array(np.where(single, s[r] + np.arange(m) + window, -1)), pa.array((int(h[r]) * 31 & (1 << 60) - 1) + part), pa.array(np.full(m, int(group.column("shard")[r].as_py()))), pa.array([x.ljust(16, b"\0") for x in d.tolist()], pa.binary())], NAMES)
+            wide = np.flatnonzero(parts > 1)
+            here = int(group.column("shard")[0].as_py())
+            for x in np.unique(h[wide]).tolist():
+                own = wide[h[wide] == x]
+                shared, waiting = set(), []
+                for r in own[np.unique([which[r] for r in own.tolist()], return_index=True)[1]].tolist():
+                    w = which[r]
+                    d = [y.ljust(16, b"\0") for y in digests(distinct[w], window).tolist()]
+                    if often[w]:
+                        shared.update(d)
+                        continue
+                    for k, twice in enumerate(flags[w].tolist()):
+                        if twice:
+                            shared.add(d[k])
+                        else:
+                            waiting.append((k1[r], k2[r], s[r] + k, s[r] + k + window, d[k]))
+                # a row for each window that is single here, and one for each that is settled here
+                rows = waiting + [(0, 0, 0, -1, y) for y in sorted(shared)]
+                cols = list(zip(*rows, strict=True))
+                top = np.frombuffer(b"".join(y[:4] for y in cols[4]), ">u4").astype(np.int64)
+                part = (int(x) * 31 & (1 << 60) - 1) + (top * (int(parts[own[0]]) * RANGES) >> 32)
+                yield pa.record_batch([*(pa.array(np.array(c, np.int64)) for c in cols[:4]), pa.array(part), pa.array(np.full(len(rows), here)), pa.array(cols[4], pa.binary())], NAMES)
 
     NAMES = ["k1", "k2", "lo", "hi", "part", "shard", "digest"]
     result = stored(dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(search, "k1 long, k2 long, lo long, hi long, part long, shard long, digest binary"), "found")
