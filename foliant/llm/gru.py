@@ -85,15 +85,17 @@ def log_softmax(m: Gru, states: np.ndarray) -> np.ndarray:
 
 
 def _windows(lengths: np.ndarray, x: list[np.ndarray], y: list[np.ndarray], size: int):
-    """(lanes alive, x, y, mask) of each window; documents come longest first."""
-    for t in range(0, int(lengths[0]) if len(lengths) else 0, size):
+    """(lanes alive, x, y) of each window, y -1 after a document's end; documents come longest first."""
+    if not len(lengths):
+        return
+    flat_x, flat_y = np.concatenate(x), np.concatenate(y)
+    starts = np.cumsum(lengths) - lengths
+    for t in range(0, int(lengths[0]), size):
         live = int(np.searchsorted(-lengths, -t, side="left"))
-        steps = min(size, int(lengths[0]) - t)
-        xs, ys = np.zeros((live, steps), np.int64), np.full((live, steps), -1, np.int64)
-        for k in range(live):
-            n = min(steps, int(lengths[k]) - t)
-            xs[k, :n], ys[k, :n] = x[k][t : t + n], y[k][t : t + n]
-        yield live, xs.T, ys.T
+        at = t + np.arange(min(size, int(lengths[0]) - t))[:, None]
+        inside = at < lengths[:live]
+        place = np.where(inside, starts[:live] + at, 0)
+        yield live, flat_x[place], np.where(inside, flat_y[place], -1)
 
 
 def log_likelihood(m: Gru, x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:

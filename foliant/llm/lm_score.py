@@ -28,8 +28,8 @@ START = CLASSES
 INPUTS = CLASSES + 1 + HEAD
 #: Frequent words whose spelling makes the clusters; buckets of letter pairs.
 SPELT, PAIRS = 4096, 256
-#: Text of a local dictionary.
-CHUNK = 8 << 20
+#: Text of a local dictionary; its words take some three times as much memory as their bytes.
+CHUNK = 24 << 20
 #: Documents of the start on the driver, and their tokens each at most from the beginning of training only.
 WARM, WARM_RATE, RATE = 256, 0.01, 0.003
 #: Tokens that a partition trains on or scores at a time.
@@ -123,7 +123,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold:
             full[: len(counts)] = counts
             return pa.record_batch([pa.array(np.full(n, number)), pa.array(np.arange(n, dtype=np.int64)), pa.array(list(ids), pa.binary()), pa.array(full), pa.nulls(n, id_type), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.binary())], NAMES)
 
-        for b in slices(batches, "text", chunk // 4):
+        for b in slices(batches, "text", 2 << 20):
             id_type = b.column(0).type
             view, offsets = raw_bytes(b.column("text"))
             own, out, known = b.column("held_out").to_pylist(), [], ids.__getitem__
