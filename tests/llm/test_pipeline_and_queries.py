@@ -29,7 +29,9 @@ def test_stages(spark):
         kept = now
         docs = spark.createDataFrame(rows, docs.schema)
     assert {r.doc_id for r in rows} == kept
-    assert corpus_pipeline.run(spark, SF).count() == len(rows)
+    # where rests are cut depends on the partitions; what is packed does not
+    tokens = lambda found: {(r.doc_id, r.doc_tokens) for r in found}
+    assert tokens(corpus_pipeline.run(spark, SF).collect()) == tokens(rows)
     assert first.count() > len(kept)
 
 
