@@ -9,6 +9,7 @@ with exclusive-or and bit counts.  The comparison is exact: no link is lost.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -219,30 +220,62 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 # --- wide fingerprints -------------------------------------------------------------------------
 
-#: 64-bit words of a wide fingerprint, and how many of their bits may differ at a similarity of
-#: 0.8: two sets of equal size with Jaccard similarity J have a cosine of 2J / (1 + J), and so
-#: arccos(0.889) / pi = 0.151 of the bits differ (78 of 512; standard deviation 8).
-WORDS, WIDE_RADIUS = 8, 90
-#: Bits that may differ in the first word; it sifts pairs before the others are read.
-SIFT = 22
-#: Rows of a block of wide fingerprints (1 MB).  A row is sent to each block of the tiles near
-#: its own, so larger blocks mean less shuffling.
-WIDE_BLOCK = 16_384
-#: Sizes of sets whose similarity reaches 0.765 (WIDE_RADIUS) lie within two of these steps.
+#: 64-bit words of a wide fingerprint.
+WORDS = 8
+#: Words of it that sift pairs before the others are read.
+FIRST = 2
+#: Rows of a block of wide fingerprints (1 MB), and bytes of the shingle sets of a block's rows.  A
+#: row is sent to each block of the tiles near its own, so larger blocks mean less shuffling.
+WIDE_BLOCK, SET_BYTES = 16_384, 64 << 20
+#: Sizes of sets whose similarity reaches 0.765 lie within two of these steps.
 SIZE_STEP = 0.134
+#: Sets compared with one set at a time.
+TRIES = 256
 
 
-def wide_fingerprint(text: bytes, shingle: int = 5) -> tuple[bytes, int]:
-    """512 bits over the distinct word shingles, and the number of shingles."""
+def reach(bits: int, p: float, miss: float = 1e-9) -> int:
+    """The number of differing bits that is exceeded with a likelihood under ``miss``, if each of
+    ``bits`` differs with likelihood ``p``."""
+    terms = [math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(bits + 1)]
+    tail, k = 0.0, bits
+    while tail + terms[k] < miss:
+        tail, k = tail + terms[k], k - 1
+    return k
+
+
+#: The likelihood that a bit differs between sets of similarity 0.8 or more, at most: by the
+#: binomial sums of all sizes up to 200; towards arccos(0.889) / pi = 0.151 beyond.  The largest is
+#: that of 4 shingles in a set of 5.
+FEW, APART_FEW, APART = 5, 0.1875, 0.1612
+RADII = {few: (reach(64 * FIRST, p), reach(64 * WORDS, p)) for few, p in ((True, APART_FEW), (False, APART))}
+
+
+def size_tile(size: np.ndarray) -> np.ndarray:
+    return np.where(size > 0, 1 + np.floor(np.log(np.maximum(size, 1)) / SIZE_STEP), 0).astype(np.int64)
+
+
+#: The last tile whose pairs may have a set of fewer than FEW shingles.
+FEW_TILE = int(size_tile(np.array([FEW]))[0])
+
+
+def shingle_set(text: bytes, shingle: int = 5) -> np.ndarray:
+    """The distinct hashes of the word shingles, ascending."""
     words = text.lower().split()
     if not words:
-        return b"\0" * 8 * WORDS, 0
+        return np.zeros(0, np.uint64)
     h = xxhash.xxh64_intdigest
     if len(words) <= shingle:
         seen = {h(b" ".join(words), 42)}
     else:
         seen = {h(b" ".join(s), 42) for s in zip(*(words[k:] for k in range(shingle)))}
-    v, out = np.array(sorted(seen), np.uint64), []
+    return np.array(sorted(seen), np.uint64)
+
+
+def wide_fingerprint(v: np.ndarray) -> bytes:
+    """512 bits over a set of shingles."""
+    if not len(v):
+        return b"\0" * 8 * WORDS
+    out = []
     for w in range(WORDS):
         x = (v + np.uint64(w * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
@@ -251,38 +284,61 @@ def wide_fingerprint(text: bytes, shingle: int = 5) -> tuple[bytes, int]:
         for k in range(0, len(x), STEP):
             count += np.unpackbits(x[k : k + STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
         out.append(np.packbits(count * 2 > len(x), bitorder="little"))
-    return np.concatenate(out).tobytes(), len(v)
+    return np.concatenate(out).tobytes()
 
 
-def wide_links(a: np.ndarray, b: np.ndarray | None, radius: int = WIDE_RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Places ``(x, y)`` of a forest over the rows of a (and of b, after those of a): each linked
-    row with the first of its part."""
-    right = a if b is None else b
-    rows, shift = len(a) + (0 if b is None else len(b)), 0 if b is None else len(a)
-    label = np.arange(rows)
+def wide_pairs(a: np.ndarray, b: np.ndarray | None, few: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places ``(x, y)`` of all pairs of rows of a and b (or inside a) that may have a similarity of
+    0.8, by ascending x; rows of b count after those of a."""
+    right, shift = (a, 0) if b is None else (b, len(a))
+    sift, radius = RADII[few]
     ones = [np.bitwise_count(m).sum(1, dtype=np.int64) for m in (a, right)]
     for k in range(0, len(a), 256):
         part = ones[0][k : k + 256]
         if part.min() - ones[1].max() > radius or ones[1].min() - part.max() > radius:
             continue
-        x, y = np.nonzero(np.bitwise_count(a[k : k + 256, :1] ^ right[None, :, 0]) <= SIFT)
+        apart = np.bitwise_count(a[k : k + 256, :1] ^ right[None, :, 0])
+        for w in range(1, FIRST):
+            apart += np.bitwise_count(a[k : k + 256, w : w + 1] ^ right[None, :, w])
+        x, y = np.nonzero(apart <= sift)
         x = x + k
         if b is None:
             x, y = x[x < y], y[x < y]
         near = [np.bitwise_count(a[x[s : s + 65536]] ^ right[y[s : s + 65536]]).sum(1, dtype=np.int64) <= radius for s in range(0, len(x), 65536)]
         if near:
             near = np.concatenate(near)
-            x, y = x[near], y[near] + shift
-        while len(x):
-            lx, ly = label[x], label[y]
-            if (lx == ly).all():
-                break
-            low = np.minimum(lx, ly)
-            np.minimum.at(label, lx, low)
-            np.minimum.at(label, ly, low)
-            while (label != label[label]).any():
-                label = label[label]
-    moved = np.flatnonzero(label != np.arange(rows))
+            yield x[near], y[near] + shift
+
+
+def alike(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Which of some sets have a Jaccard similarity of 0.8 or more with a set; none is empty."""
+    sizes = np.array([len(o) for o in others])
+    every = np.concatenate(others)
+    hit = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
+    both = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
+    return 9 * both >= 4 * (len(own) + sizes)  # both / (sum - both) >= 4 / 5
+
+
+def wide_links(a: np.ndarray, b: np.ndarray | None, sets: list[np.ndarray], few: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places ``(x, y)`` of a forest over the rows of a (and of b, after those of a) that connects
+    what the pairs of similarity 0.8 or more connect.  A pair that is connected already is not
+    compared again, so a large group of copies costs a comparison for each row."""
+    label = np.arange(len(sets))
+    for x, y in wide_pairs(a, b, few):
+        apart = label[x] != label[y]
+        x, y = x[apart], y[apart]
+        if not len(x):
+            continue
+        starts = np.flatnonzero(np.diff(x, prepend=-1))
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(x)], strict=True):
+            row = int(x[s])
+            for t in range(s, e, TRIES):
+                at = y[t : min(t + TRIES, e)]
+                at = at[label[at] != label[row]]
+                if len(at) and len(good := at[alike(sets[row], [sets[k] for k in at.tolist()])]):
+                    old = np.unique(label[np.append(good, row)])
+                    label[np.isin(label, old)] = old[0]
+    moved = np.flatnonzero(label != np.arange(len(sets)))
     return moved, label[moved]
 
 
@@ -290,8 +346,10 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows of ``docs`` without near copies: of each group the row of the smallest id stays.
 
     Two texts are near copies if their sets of five-word shingles have a Jaccard similarity of
-    0.8 or more, as 512-bit SimHashes show it; groups are what such links connect.  Tiles are
-    steps of set size, since similar sets have similar sizes; blocks are compared in full.
+    0.8 or more; groups are what such links connect.  512-bit SimHashes name the pairs that may be
+    (all but one in 10^9 of those that are), and each is decided by its sets.  Tiles are steps of
+    set size, since similar sets have similar sizes; blocks are compared in full.  Sets are made
+    again for the texts that some pair names, and go to the units of such pairs alone.
 
     Defined cases: texts without words form one group; null ids come last; of rows that repeat
     id and text one stays; an empty table gives an empty result; columns stay as they are and
@@ -305,22 +363,23 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 4 << 20):
             view, offsets = raw_bytes(b.column("text"))
-            made = [wide_fingerprint(view[a:z].tobytes(), shingle) for a, z in itertools.pairwise(offsets.tolist())]
-            size = np.array([n for _, n in made], np.int64)
-            tile = np.where(size > 0, 1 + np.floor(np.log(np.maximum(size, 1)) / SIZE_STEP), 0).astype(np.int64)
-            yield pa.record_batch([b.column("doc_id"), b.column("k1"), b.column("k2"), pa.array([f for f, _ in made], pa.binary()), pa.array(tile)], ["doc_id", "k1", "k2", "fp", "tile"])
+            sets = [shingle_set(view[a:z].tobytes(), shingle) for a, z in itertools.pairwise(offsets.tolist())]
+            tile = size_tile(np.array([len(v) for v in sets], np.int64))
+            same = [xxhash.xxh3_128_digest(v.tobytes()) for v in sets]
+            yield pa.record_batch([b.column("doc_id"), b.column("k1"), b.column("k2"), pa.array([wide_fingerprint(v) for v in sets], pa.binary()), pa.array(same, pa.binary()), pa.array(tile)], ["doc_id", "k1", "k2", "fp", "same", "tile"])
 
-    signed = stored(plain.mapInArrow(sign, f"doc_id {kind}, k1 long, k2 long, fp binary, tile long"), "signed")
+    signed = stored(plain.mapInArrow(sign, f"doc_id {kind}, k1 long, k2 long, fp binary, same binary, tile long"), "signed")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("k1"), F.col("k2")))
-    distinct = signed.groupBy("fp", "tile").agg(first.alias("first")).withColumn("node", F.monotonically_increasing_id())
+    distinct = signed.groupBy("fp", "same", "tile").agg(first.alias("first")).withColumn("node", F.monotonically_increasing_id())
     distinct = stored(distinct, "distinct")
     counts = {r["tile"]: r["n"] for r in distinct.groupBy("tile").agg(F.count("*").alias("n")).collect()}  # a few hundred rows
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = shared.value
-        home = {t: -(-n // block) for t, n in sizes.items()}
-        guests = {t: -(-(sizes.get(t - 1, 0) + sizes.get(t - 2, 0)) // block) for t in sizes}
+        own = {t: min(block, max(TRIES, int(SET_BYTES / 8 / np.exp(t * SIZE_STEP)))) for t in sizes}
+        home = {t: -(-n // own[t]) for t, n in sizes.items()}
+        guests = {t: -(-(sizes.get(t - 1, 0) + sizes.get(t - 2, 0)) // own[t]) for t in sizes}
         names = ["unit", "role", "node", "fp"]
         for b in batches:
             out: list[tuple[int, int, int, bytes]] = []
@@ -341,16 +400,9 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             if out:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int8(), pa.int64(), pa.binary()), strict=True)], names)
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(unit: int, role: list[np.ndarray], node: list[np.ndarray], fp: list[bytes]) -> pa.RecordBatch:
-            r, n, f = np.concatenate(role), np.concatenate(node), np.frombuffer(b"".join(fp), "<u8").reshape(-1, WORDS)
-            if (unit >> 22 & 0x3FFFFF) == (unit & 0x3FFFFF):
-                x, y = wide_links(f, None)
-            else:
-                n, (x, y) = np.concatenate([n[r == 0], n[r == 1]]), wide_links(f[r == 0], f[r == 1]) if (r == 0).any() and (r == 1).any() else (np.zeros(0, np.int64),) * 2
-            return pa.record_batch([pa.array(n[x]), pa.array(n[y])], ["u", "v"])
-
-        now, role, node, fp = None, [], [], []
+    def by_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+        """The rows of each unit, those of its first side before those of its second."""
+        now, parts = None, []
         for b in batches:
             unit = b.column("unit").to_numpy()
             cuts = np.flatnonzero(np.diff(unit)) + 1
@@ -358,18 +410,49 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 if s == e:
                     continue
                 if now is not None and unit[s] != now:
-                    yield solve(now, role, node, fp)
-                    role, node, fp = [], [], []
+                    yield now, pa.Table.from_batches(parts).sort_by("role")
+                    parts = []
                 now = int(unit[s])
-                part = b.slice(s, e - s)
-                role.append(part.column("role").to_numpy())
-                node.append(part.column("node").to_numpy())
-                fp += part.column("fp").to_pylist()
+                parts.append(b.slice(s, e - s))
         if now is not None:
-            yield solve(now, role, node, fp)
+            yield now, pa.Table.from_batches(parts).sort_by("role")
+
+    def sides(unit: int, rows: pa.Table) -> tuple[np.ndarray, np.ndarray | None, bool]:
+        """Both sides' fingerprints, and whether sets may be of few shingles."""
+        f = np.frombuffer(b"".join(rows["fp"].to_pylist()), "<u8").reshape(-1, WORDS)
+        cut = int((rows["role"].to_numpy() == 0).sum())
+        few = unit >> 44 <= FEW_TILE
+        return (f, None, few) if (unit >> 22 & 0x3FFFFF) == (unit & 0x3FFFFF) else (f[:cut], f[cut:], few)
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit, rows in by_unit(batches):
+            a, b, few = sides(unit, rows)
+            named = np.zeros(rows.num_rows, bool)
+            if len(a) and (b is None or len(b)):
+                for x, y in wide_pairs(a, b, few):
+                    named[x] = named[y] = True
+            yield from rows.filter(pa.array(named)).to_batches()
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", 4 << 20):
+            view, offsets = raw_bytes(b.column("text"))
+            sets = [shingle_set(view[a:z].tobytes(), shingle).tobytes() for a, z in itertools.pairwise(offsets.tolist())]
+            yield pa.record_batch([b.column("node"), pa.array(sets, pa.binary())], ["node", "hashes"])
 
-    units = distinct.select("node", "tile", "fp").mapInArrow(deal, "unit long, role byte, node long, fp binary")
-    edges = units.repartition("unit").sortWithinPartitions("unit").mapInArrow(compare, "u long, v long")
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit, rows in by_unit(batches):
+            a, b, few = sides(unit, rows)
+            n, sets = rows["node"].to_numpy(), [np.frombuffer(h, np.uint64) for h in rows["hashes"].to_pylist()]
+            x, y = wide_links(a, b, sets, few)
+            yield pa.record_batch([pa.array(n[x]), pa.array(n[y])], ["u", "v"])
+
+    form = "unit long, role byte, node long, fp binary"
+    units = distinct.select("node", "tile", "fp").mapInArrow(deal, form)
+    named = stored(units.repartition("unit").sortWithinPartitions("unit").mapInArrow(sift, form), "named")
+    wanted = named.select("node").distinct().join(distinct.select("node", "first"), "node").select("node", F.col("first.doc_id").alias("id"), F.col("first.k1").alias("n1"), F.col("first.k2").alias("n2"))
+    chosen = plain.join(wanted, (F.col("k1") == F.col("n1")) & (F.col("k2") == F.col("n2")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text")
+    sets = stored(chosen.mapInArrow(hashes, "node long, hashes binary").dropDuplicates(["node"]), "sets")
+    edges = named.join(sets, "node").select("unit", "role", "node", "fp", "hashes").repartition("unit").sortWithinPartitions("unit").mapInArrow(compare, "u long, v long")
     roots = components(edges)
     rooted = distinct.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     kept = stored(rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("id"), F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2")), "kept")

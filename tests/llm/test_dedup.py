@@ -133,6 +133,45 @@ def test_drop_near_copies(spark, block):
     assert simhash.drop_near_copies(frame(spark, [])).count() == 0
 
 
+
+def test_near_copies_are_decided_by_similarity(spark):
+    """Pairs of 0.8 or more all go, short ones too; pairs of less stay, whatever their fingerprints say."""
+    rng = random.Random(12)
+    fresh = (f"w{k}" for k in range(10**6))
+    take = lambda n: [next(fresh) for _ in range(n)]
+    rows, want = [], []
+
+    def pair(one, two, copies):
+        assert (jaccard(" ".join(one), " ".join(two)) >= 0.8) == copies
+        rows.extend([(len(rows), " ".join(one)), (len(rows) + 1, " ".join(two))])
+        want.extend([len(rows) - 2] + [len(rows) - 1] * (not copies))
+
+    for _ in range(30):
+        w = take(9)
+        pair(w, w[:8], True)  # 4 shingles of 5
+        w = take(19)
+        pair(w, w[:16], True)  # 12 of 15
+        w = take(804)
+        pair(w + take(100), take(100) + w, True)  # 800 + 100 + 100
+        pair(w[:404] + take(65), take(65) + w[:404], False)  # 0.75
+        at = rng.randrange(100)
+        w = take(404)
+        pair(w[at : at + 300] + take(56), take(56) + w[at : at + 300], False)  # 0.73
+    got = sorted(r.doc_id for r in simhash.drop_near_copies(frame(spark, rows)).collect())
+    assert got == want
+
+
+
+@pytest.mark.parametrize("cut", [None, 300])
+def test_a_large_group_of_near_copies(cut):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 200, np.uint64)
+    sets = [np.unique(np.append(base, rng.integers(0, 1 << 63, 5, np.uint64))) for _ in range(700)]
+    f = np.frombuffer(b"".join(map(simhash.wide_fingerprint, sets)), "<u8").reshape(-1, simhash.WORDS)
+    x, y = simhash.wide_links(f[:cut], None if cut is None else f[cut:], sets, False)
+    assert sorted(x.tolist()) == list(range(1, 700)) and set(y.tolist()) == {0}
+
+
 def brute(rows, w):
     c = collections.Counter()
     for _, t in rows:
