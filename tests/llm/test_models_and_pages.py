@@ -110,6 +110,20 @@ def test_decoder(tables):
     assert d.words("The the. of%%% (and)") == {"the", "of", "and"} and d.words("") == set()
 
 
+def test_spelt_runs_are_parted(spark, tables):
+    model = toxicity.fit(tables[0], toxicity.training_labels(tables[1]))
+    d = toxicity.Decoder(model.trigrams, model.lexicon)
+    for text, word in (("you are a l o s e r", "loser"), ("y o u i d i o t", "idiot"), ("y o u a r e a n 1 d 1 0 t", "idiot"), ("the l o s e r is", "loser")):
+        assert word in d.words(text), text
+    for n in range(20, 60):  # wherever a run is long
+        assert "idiot" in d.words("z " * n + "y o u i d i o t"), n
+    assert isinstance(d.words("a b " * 50_000), set)
+    pairs = (("you are a stupid idiot", "you are a s t u p i d i d i o t"), ("you moron you are pathetic", "y o u m o r o n y o u a r e p a t h e t i c"))
+    rows = docs_frame(spark, [(k, t) for k, t in enumerate(x for p in pairs for x in p)] + [(9, "h a v e a n i c e d a y")])
+    got = {r.doc_id: r.s for r in toxicity.with_score(rows, model, name="s").collect()}
+    assert min(got[k] for k in range(4)) >= 0.5 > got[9], got
+
+
 def test_trigram_counts_by_hand(spark):
     rows = [(1, "Ab"), (2, None), (3, "a1b é"), (4, "中a")]
     got = toxicity.trigram_counts(docs_frame(spark, rows))
