@@ -124,6 +124,13 @@ def test_spelt_runs_are_parted(spark, tables):
     assert min(got[k] for k in range(4)) >= 0.5 > got[9], got
 
 
+def test_decoder_reads_long_tokens(tables):
+    d = toxicity.Decoder(toxicity.trigram_model(toxicity.trigram_counts(tables[0])))
+    assert "idiot" in d.words("idi" + "o" * 60 + "t")
+    assert "idiot" in d.words("the.people.who.say.this.are.not.the.same.you.1d10t.of.all")
+    assert isinstance(d.words("ab1" * 100_000), set)
+
+
 def test_trigram_counts_by_hand(spark):
     rows = [(1, "Ab"), (2, None), (3, "a1b é"), (4, "中a")]
     got = toxicity.trigram_counts(docs_frame(spark, rows))
