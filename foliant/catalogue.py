@@ -7,7 +7,7 @@ items), ``customer``, ``part``, ``supplier``, ``nation``, ``region``, ``events``
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from .functions.keys import date_key, parse_key, time_key
 from .functions.text import ascii_only, basename, element, file_docid, parent, row_xml, with_extension, xml_escape
 from .operators import docbase, docset, index
+from .plans.catalog import IndexDef
 from .plans.compiler import Base, Compiler, Postings
+from .sources.documents import extract_keys
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,18 +38,47 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bases(spark: SparkSession, sf_dir: str) -> dict[str, Base]:
-    t = {n: read(spark, sf_dir, n) for n in ("orders", "lineitem", "customer", "part", "supplier", "nation", "region", "events")}
-    items = {"partkey": ("l_partkey", "int64"), "suppkey": ("l_suppkey", "int64"), "quantity": ("l_quantity", "double"), "returnflag": ("l_returnflag", "string"), "linenumber": ("l_linenumber", "int32"), "discount": ("l_discount", "double")}
-    return {
-        "orders": Base("orders", t["orders"], "o_orderkey", {"orderkey": ("o_orderkey", "int64"), "custkey": ("o_custkey", "int64"), "status": ("o_orderstatus", "string"), "price": ("o_totalprice", "double"), "priority": ("o_orderpriority", "string")}, {n: Postings(t["lineitem"], "l_orderkey", c, k) for n, (c, k) in items.items()}),
-        "customer": Base("customer", t["customer"], "c_custkey", {"custkey": ("c_custkey", "int64"), "nationkey": ("c_nationkey", "int32"), "balance": ("c_acctbal", "double"), "segment": ("c_mktsegment", "string")}),
-        "part": Base("part", t["part"], "p_partkey", {"partkey": ("p_partkey", "int64"), "brand": ("p_brand", "string"), "size": ("p_size", "int32"), "retail": ("p_retailprice", "double")}),
-        "supplier": Base("supplier", t["supplier"], "s_suppkey", {"suppkey": ("s_suppkey", "int64"), "nationkey": ("s_nationkey", "int32"), "balance": ("s_acctbal", "double")}),
-        "nation": Base("nation", t["nation"], "n_nationkey", {"nationkey": ("n_nationkey", "int32"), "nation": ("n_name", "string"), "regionkey": ("n_regionkey", "int32")}),
-        "region": Base("region", t["region"], "r_regionkey", {"regionkey": ("r_regionkey", "int32"), "region": ("r_name", "string")}),
-        "events": Base("events", t["events"], "event_id", {"userkey": ("user_id", "int64"), "kind": ("event_type", "string"), "value": ("value", "double")}),
-    }
+ITEMS = {"partkey": ("l_partkey", "int64"), "suppkey": ("l_suppkey", "int64"), "quantity": ("l_quantity", "double"), "returnflag": ("l_returnflag", "string"), "linenumber": ("l_linenumber", "int32"), "discount": ("l_discount", "double")}
+#: Docbase -> its id column and its single-valued indexes.
+TABLES: dict[str, tuple[str, dict[str, tuple[str, str]]]] = {
+    "orders": ("o_orderkey", {"orderkey": ("o_orderkey", "int64"), "custkey": ("o_custkey", "int64"), "status": ("o_orderstatus", "string"), "price": ("o_totalprice", "double"), "priority": ("o_orderpriority", "string")}),
+    "customer": ("c_custkey", {"custkey": ("c_custkey", "int64"), "nationkey": ("c_nationkey", "int32"), "balance": ("c_acctbal", "double"), "segment": ("c_mktsegment", "string")}),
+    "part": ("p_partkey", {"partkey": ("p_partkey", "int64"), "brand": ("p_brand", "string"), "size": ("p_size", "int32"), "retail": ("p_retailprice", "double")}),
+    "supplier": ("s_suppkey", {"suppkey": ("s_suppkey", "int64"), "nationkey": ("s_nationkey", "int32"), "balance": ("s_acctbal", "double")}),
+    "nation": ("n_nationkey", {"nationkey": ("n_nationkey", "int32"), "nation": ("n_name", "string"), "regionkey": ("n_regionkey", "int32")}),
+    "region": ("r_regionkey", {"regionkey": ("r_regionkey", "int32"), "region": ("r_name", "string")}),
+    "events": ("event_id", {"userkey": ("user_id", "int64"), "kind": ("event_type", "string"), "value": ("value", "double")}),
+}
+
+
+class Bases(Mapping[str, Base]):
+    """Docbases whose tables are opened when they are first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir, self.open = spark, sf_dir, {}
+
+    def __getitem__(self, name: str) -> Base:
+        if name not in self.open:
+            docid, single = TABLES[name]
+            many = {}
+            if name == "orders":
+                items = read(self.spark, self.sf_dir, "lineitem")
+                many = {n: Postings(items, "l_orderkey", c, k) for n, (c, k) in ITEMS.items()}
+            self.open[name] = Base(name, read(self.spark, self.sf_dir, name), docid, single, many)
+        return self.open[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(TABLES)
+
+    def __len__(self) -> int:
+        return len(TABLES)
+
+    def __contains__(self, name: object) -> bool:
+        return name in TABLES
+
+
+def bases(spark: SparkSession, sf_dir: str) -> Mapping[str, Base]:
+    return Bases(spark, sf_dir)
 
 
 def ask(name: str, text: str, sql: str, base: str = "orders", dialect: str = "all") -> None:
@@ -98,7 +129,12 @@ ask("deep_tree", '!(((status = F ^ quantity > 45) & !(price <= 100000)) | (retur
 ask("events_and", "kind = click & value > 50", "SELECT event_id AS docid FROM events WHERE event_type = 'click' AND value > 50", base="events")
 ask("xref_semi", "orders.status = F & orders.price > 400000", "SELECT c_custkey AS docid FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 400000)", base="customer")
 ask("xref_and", "segment = BUILDING & orders.price > 400000", "SELECT c_custkey AS docid FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)", base="customer")
-ask("xref_not", "!(orders.price > 100000)", "SELECT c_custkey AS docid FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE NOT o_totalprice > 100000)", base="customer")
+ask("xref_not", "!(orders.price > 100000)", "SELECT c_custkey AS docid FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000)", base="customer")
+RICH = "c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)"
+for _name, _sign, _op in (("and", "&", "AND"), ("or", "|", "OR"), ("xor", "^", "<>")):
+    ask(f"xref_not_{_name}", f"!(segment = BUILDING {_sign} orders.price > 400000)", f"SELECT c_custkey AS docid FROM customer WHERE NOT ((c_mktsegment = 'BUILDING') {_op} ({RICH}))", base="customer")
+ask("xref_and_not", "segment = BUILDING & !(orders.price > 400000) & balance > 0", f"SELECT c_custkey AS docid FROM customer WHERE c_mktsegment = 'BUILDING' AND NOT ({RICH}) AND c_acctbal > 0", base="customer")
+ask("xref_ne", "orders.price != 100000", "SELECT c_custkey AS docid FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice <> 100000)", base="customer")
 ask("xref_xor", "balance > 0 ^ orders.price > 400000", "SELECT c_custkey AS docid FROM customer WHERE (c_acctbal > 0) <> (c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000))", base="customer")
 ask("xref_mv", "part.size > 45 & status = F", "SELECT o_orderkey AS docid FROM orders WHERE o_orderstatus = 'F' AND o_orderkey IN (SELECT l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size > 45)")
 
@@ -139,7 +175,7 @@ def index_list_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT k.key, count(DISTINCT l_orderkey) AS documents FROM (VALUES (1.0::DOUBLE), (10.0), (10.5), (50.0), (99.0)) k(key) LEFT JOIN lineitem ON l_quantity = k.key GROUP BY 1")
 def index_get_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = spark.createDataFrame([(1.0,), (10.0,), (10.5,), (50.0,), (99.0,)], "key double")
-    return index.get(index.build(quantities(spark, sf_dir)), asked)
+    return index.get(quantities(spark, sf_dir), asked)
 
 
 @query("SELECT DISTINCT l_orderkey AS docid FROM lineitem WHERE l_quantity BETWEEN 10.5 AND 12")
@@ -207,9 +243,11 @@ def flagged(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     return Compiler(bases(spark, sf_dir)).query(text, "orders").select((F.col("docid") + 1).alias("docid"))
 
 
-@query("SELECT g AS docid FROM generate_series(1, 20000) t(g) EXCEPT SELECT o_orderkey + 1 FROM orders WHERE o_orderstatus = 'F'")
+@query("SELECT g AS docid FROM generate_series(1, (SELECT max(o_orderkey) + 5001 FROM orders)) t(g) EXCEPT SELECT o_orderkey + 1 FROM orders WHERE o_orderstatus = 'F'")
 def docset_flip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docset.flip(flagged(spark, sf_dir, "status = F"), 20_000)
+    """The complement over the capacity: room for 5,000 more than the table has."""
+    capacity = read(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0] + 5001
+    return docset.flip(flagged(spark, sf_dir, "status = F"), capacity)
 
 
 @query("SELECT docid FROM ((SELECT o_orderkey + 1 AS docid FROM orders WHERE o_orderstatus = 'F') UNION (SELECT o_orderkey + 1 FROM orders WHERE o_totalprice > 250000))")
@@ -311,9 +349,7 @@ def date_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id AS docid, CAST(floor(epoch(ts)) AS BIGINT) AS key FROM events")
 def time_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # local clock readings are read as UTC, whatever the session's zone
-    seconds = F.expr("CAST(floor(timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts) / 1000000) AS BIGINT)")
-    return read(spark, sf_dir, "events").select(F.col("event_id").alias("docid"), seconds.alias("key"))
+    return read(spark, sf_dir, "events").select(F.col("event_id").alias("docid"), time_key(F.col("ts"), clock=True).alias("key"))
 
 
 @query("SELECT p_partkey AS docid, left(p_name, 8) AS key FROM part")
@@ -354,8 +390,7 @@ def xml_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = read(spark, sf_dir, "lineitem")
     parts = element("quantity", F.col("l_quantity").cast("string"))
     docs = items.groupBy(F.col("l_orderkey").alias("docid")).agg(F.concat(F.lit("<order>"), F.array_join(F.collect_list(parts), ""), F.lit("</order>")).alias("content"))
-    keys = docs.select("docid", F.explode(F.xpath("content", F.lit("/order/quantity/text()"))).alias("t"))
-    return keys.select("docid", parse_key(F.col("t"), "double").alias("key")).distinct()
+    return extract_keys(docs, IndexDef("quantity", "double", "/order/quantity"))
 
 
 @query("SELECT page_id AS docid, regexp_extract(url, '[^/]*$') AS name, regexp_replace(url, '/[^/]*$', '') AS folder, regexp_replace(url, '\\.[^./]*$', '') || '.index' AS file, CAST(coalesce(nullif(regexp_extract(regexp_extract(url, '[^/]*$'), '^[0-9]+'), ''), '0') AS BIGINT) AS number FROM pages")
@@ -368,5 +403,3 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Finished expensive orders with a large or returned item."""
     return Compiler(bases(spark, sf_dir)).query("status = F & price > 100000 & (quantity > 45 | returnflag = R)", "orders")
 
-
-_ = time_key

@@ -121,6 +121,25 @@ def date_key(timestamp: Column) -> Column:
     return F.date_format(timestamp, "yyyyMMdd").cast("bigint")
 
 
-def time_key(timestamp: Column) -> Column:
-    """Seconds since 1970 of a timestamp."""
+def time_key(timestamp: Column, clock: bool = False) -> Column:
+    """Seconds since 1970 of a timestamp.  ``clock``: of a timestamp without a zone, read as UTC
+    whatever the session's zone is."""
+    if clock:
+        micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), timestamp)
+        return F.floor(micros / 1_000_000).cast("bigint")
     return F.unix_timestamp(timestamp.cast("timestamp"))
+
+
+def key_text(column: Column, name: str) -> Column:
+    """A key as it is printed: doubles with six significant digits (ties of their shortest decimal
+    form go up), in scientific form from 10^6 on and below 10^-4; integers in decimal."""
+    if key_type(name).spark != "double":
+        return column.cast("string")
+    scientific = F.format_string("%.5e", column)
+    power = F.regexp_extract(scientific, "e([+-][0-9]+)$", 1).cast("int")
+    plain = F.lit(None).cast("string")
+    for k in range(-4, 6):
+        plain = F.when(power == k, F.format_string(f"%.{5 - k}f", column)).otherwise(plain)
+    cut = lambda c: F.regexp_replace(F.when(c.contains("."), F.rtrim(c, F.lit("0"))).otherwise(c), r"\.$", "")
+    long = F.concat(cut(F.regexp_extract(scientific, "^([^e]*)e", 1)), F.lit("e"), F.regexp_extract(scientific, "e(.*)$", 1))
+    return F.when(column == 0, "0").when(plain.isNotNull(), cut(plain)).otherwise(long)

@@ -37,13 +37,25 @@ def _numbered(df: DataFrame, order: str, name: str) -> DataFrame:
     return ranged.join(F.broadcast(offsets), "_p").withColumn(name, F.col("_i") + F.col("_s")).drop("_p", "_i", "_s")
 
 
+def _lowest(docs: DataFrame, need: int, capacity: int) -> DataFrame:
+    """The lowest ``need`` free ids and few more: used ids are counted by ranges (65,536 numbers
+    at most), and only ids up to the range that has enough are listed."""
+    width = max(1 << 12, -(-capacity // (1 << 16)))
+    used = dict(docs.where(F.col("docid").between(1, capacity)).groupBy(F.floor((F.col("docid") - 1) / width).cast("long").alias("r")).agg(F.countDistinct("docid").alias("n")).collect())
+    free = top = 0
+    while free < need and top < capacity:
+        own = min(width, capacity - top)
+        free, top = free + own - used.get(top // width, 0), top + own
+    if need > free:
+        raise CapacityError(f"{need} new documents, but {free} free ids up to {capacity}")
+    return free_ids(docs.where(F.col("docid") <= top), top)
+
+
 def allocate(docs: DataFrame, names: DataFrame, capacity: int) -> DataFrame:
     """``name, docid`` for names without a document yet: in order of name, the lowest free ids.
     Raises if they do not fit."""
-    new = names.select("name").distinct().join(docs, "name", "left_anti")
-    need, free = new.count(), free_ids(docs, capacity)
-    if need > free.count():
-        raise CapacityError(f"{need} new documents, but not as many free ids up to {capacity}")
+    new = stored(names.select("name").distinct().join(docs, "name", "left_anti"), "new")
+    free = _lowest(docs, new.count(), capacity)
     return _numbered(new, "name", "n").join(_numbered(free, "docid", "n"), "n").select("name", "docid")
 
 

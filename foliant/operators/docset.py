@@ -49,3 +49,10 @@ def cardinality(a: DataFrame) -> DataFrame:
 
 def ordered(a: DataFrame) -> DataFrame:
     return a.select("docid").distinct().orderBy("docid")
+
+
+def describe(a: DataFrame, capacity: int) -> DataFrame:
+    """``documents, is_nil, size, bytes``: how many there are, whether there are none, and the bits
+    and bytes of a bitmap of the capacity."""
+    n = a.agg(F.countDistinct("docid").alias("documents"))
+    return n.select("documents", (F.col("documents") == 0).alias("is_nil"), F.lit(capacity).cast("long").alias("size"), F.lit(-(-capacity // 8)).cast("long").alias("bytes"))

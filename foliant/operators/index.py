@@ -26,6 +26,21 @@ def show(postings: DataFrame, separator: str = " ") -> DataFrame:
     return postings.groupBy("key").agg(F.array_join(F.transform(ids, lambda d: d.cast("string")), separator).alias("docids"))
 
 
+def dump_lists(entries: DataFrame, separator: str = ",") -> DataFrame:
+    """``key, docids``: the ids of each key as one string, duplicates included and each followed by
+    the separator.  A dump for people, as :func:`show` is."""
+    ids = F.array_sort(F.collect_list("docid"))
+    return entries.groupBy("key").agg(F.concat(F.array_join(F.transform(ids, lambda d: d.cast("string")), separator), F.lit(separator)).alias("docids"))
+
+
+def show_chunks(postings: DataFrame, width: int = BUCKET, separator: str = " ") -> DataFrame:
+    """``key, chunk, docids``: a dump whose rows have the ids of ``width`` consecutive ones at most,
+    however many a key has."""
+    parts = postings.withColumn("chunk", F.floor((F.col("docid") - 1) / width).cast("long"))
+    ids = F.array_sort(F.collect_set("docid"))
+    return parts.groupBy("key", "chunk").agg(F.array_join(F.transform(ids, lambda d: d.cast("string")), separator).alias("docids"))
+
+
 def bitmaps(postings: DataFrame) -> DataFrame:
     """``key, bucket, bits``: document sets as bitmaps of 32,768 ids, built with partial
     aggregation; no row grows with the number of documents."""
@@ -38,10 +53,12 @@ def bitmap_union_count(maps: DataFrame) -> DataFrame:
     return merged.agg(F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).alias("documents"))
 
 
-def get(postings: DataFrame, keys: DataFrame) -> DataFrame:
-    """``key, documents``: for each asked key the number of its documents, zero if unknown."""
+def get(entries: DataFrame, keys: DataFrame) -> DataFrame:
+    """``key, documents``: for each asked key the number of its documents, zero if unknown.  Only
+    entries of asked keys are shuffled; they need not be distinct."""
     asked = keys.select("key").distinct()
-    return asked.join(postings, "key", "left").groupBy("key").agg(F.count("docid").alias("documents"))
+    found = entries.join(asked, "key", "left_semi").groupBy("key").agg(F.countDistinct("docid").alias("documents"))
+    return asked.join(found, "key", "left").select("key", F.coalesce("documents", F.lit(0)).alias("documents"))
 
 
 def lookup(postings: DataFrame, key: object) -> DataFrame:

@@ -8,6 +8,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 
 class Results:
     """Document ids of a docbase with their documents (``docid, name, content``)."""
@@ -29,12 +31,19 @@ class Results:
         """The documents of smallest ids: a report of ``limit`` rows."""
         return self.documents().orderBy("docid").limit(limit)
 
+    def xml_rows(self) -> DataFrame:
+        """``at, line``: a result document, its lines in the order of ``at``.  Ids are found once."""
+        found = stored(self.docids.select("docid"), "found")
+        took = f"{time.process_time() - self.started:.10g}"
+        head = found.agg(F.count("*").alias("n")).select(F.lit(-(1 << 62)).alias("at"), F.concat(F.lit('<results count="'), "n", F.lit(f'" querytime="{took}">')).alias("line"))
+        body = self.docs.join(found, "docid", "left_semi").select(F.col("docid").alias("at"), F.col("content").alias("line"))
+        tail = found.sparkSession.range(1).select(F.lit(1 << 62).alias("at"), F.lit("</results>").alias("line"))
+        return head.union(body).union(tail)
+
     def xml(self) -> Iterator[str]:
-        """Lines of a result document; contents stream through the driver one partition at a time."""
-        yield f'<results count="{self.count()}" querytime="{time.process_time() - self.started:.10g}">'
-        for row in self.documents().orderBy("docid").select("content").toLocalIterator():
-            yield row["content"]
-        yield "</results>"
+        """Lines of :meth:`xml_rows`; they stream through the driver one partition at a time."""
+        for row in self.xml_rows().orderBy("at").toLocalIterator():
+            yield row["line"]
 
     def text(self, limit: int = 20) -> Iterator[str]:
         """The first documents, then how many there are."""

@@ -8,19 +8,25 @@ Terms of one docbase are fused into one plan, however deep the tree is:
   document, instead of a join for each;
 * the universe of all documents is joined only if the tree holds for documents without keys.
 
-Across docbases results are converted through an index of the same name, as semi-joins.
+Across docbases results are converted through an index of the same name, as semi-joins.  The
+largest subtree that is wholly of another docbase is answered there (so that all its terms hold
+for one document of it) and then converted.  A negation around it is a complement in the docbase
+that is asked: ``!q`` holds for exactly the documents that ``q`` does not hold for.  A term with
+``!=`` is the other docbase's own complement, as any term is.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import key_type
+from ..operators import docset
 from .parser import parse
-from .tree import And, Node, Not, Or, Pair, Term, Xor, rewrite
+from .tree import And, Node, Not, Or, Pair, Term, Xor, check, rewrite
 
 COMPARE = {"=": Column.__eq__, "<": Column.__lt__, "<=": Column.__le__, ">": Column.__gt__, ">=": Column.__ge__}
 
@@ -38,13 +44,19 @@ class Postings:
 @dataclass
 class Base:
     """A docbase: a table with a row for each document, its single-valued indexes (name ->
-    (column, type)) and its multi-valued ones."""
+    (column, type)) and its multi-valued ones.
+
+    ``closed`` states that postings name documents of the table alone, as a store keeps them
+    (:meth:`strays` checks it); then one positive term needs no join.  Otherwise every result
+    is met with the table.
+    """
 
     name: str
     table: DataFrame
     docid: str
     single: dict[str, tuple[str, str]] = field(default_factory=dict)
     many: dict[str, Postings] = field(default_factory=dict)
+    closed: bool = True
 
     def universe(self) -> DataFrame:
         return self.table.select(F.col(self.docid).alias("docid"))
@@ -57,6 +69,19 @@ class Base:
         p = self._many(index)
         return p.table.where(F.col(p.key).isNotNull()).select(F.col(p.docid).alias("docid"), F.col(p.key).alias("key"))
 
+    def strays(self) -> DataFrame:
+        """``index, docid``: postings of documents that the table does not have."""
+        out = self.universe().limit(0).select(F.lit("").alias("index"), "docid")
+        for name in self.many:
+            found = self.keys(name).select("docid").distinct().join(self.universe(), "docid", "left_anti")
+            out = out.union(found.select(F.lit(name).alias("index"), "docid"))
+        return out
+
+    def cell(self, index: str, docids: DataFrame) -> DataFrame:
+        """``docid, key`` for each asked document: the keys by which it refers to others; null if
+        it has none."""
+        return docids.select("docid").distinct().join(self.keys(index).distinct(), "docid", "left")
+
     def _many(self, index: str) -> Postings:
         if index not in self.many:
             raise KeyError(f"docbase {self.name} has no index {index}; it has {sorted([*self.single, *self.many])}")
@@ -93,7 +118,7 @@ def _expression(node: Node, leaf: dict[Term, Column]) -> Column:
 
 
 class Compiler:
-    def __init__(self, bases: dict[str, Base], dialect: str = "all"):
+    def __init__(self, bases: Mapping[str, Base], dialect: str = "all"):
         self.bases, self.dialect = bases, dialect
 
     def base(self, name: str) -> Base:
@@ -103,25 +128,33 @@ class Compiler:
 
     def query(self, node: Node | str, base: str) -> DataFrame:
         """Distinct ``docid`` of the documents of ``base`` that a query holds for."""
-        tree = rewrite(parse(node) if isinstance(node, str) else node, self.dialect)
-        return self._fetch(tree, base)
+        tree = check(parse(node) if isinstance(node, str) else node)
+        found, negated = self._fetch(tree, base)
+        return docset.subtract(self.base(base).universe(), found) if negated else found
 
-    def _fetch(self, node: Node, base: str) -> DataFrame:
+    def _fetch(self, node: Node, base: str) -> tuple[DataFrame, bool]:
+        """A set of documents, and whether its complement is meant: complements meet the
+        universe at the very end, if at all."""
         names = {t.base or base for t in node.terms()}
         if names == {base}:
-            return self._fused(node, self.base(base))
+            return self._fused(rewrite(_plain(node), self.dialect), self.base(base)), False
+        if isinstance(node, Not):
+            found, negated = self._fetch(node.child, base)
+            return found, not negated
         if len(names) == 1:  # wholly of another docbase: answered there, then converted
             other = names.pop()
-            return self.convert(self._fetch(_plain(node), other), other, base)
-        if isinstance(node, Not):
-            return self.base(base).universe().join(self._fetch(node.child, base), "docid", "left_anti")
+            found, _ = self._fetch(_plain(node), other)
+            return self.convert(found, other, base), False
         assert isinstance(node, Pair)
-        a, b = self._fetch(node.left, base), self._fetch(node.right, base)
-        if isinstance(node, And):
-            return a.join(b, "docid", "left_semi")
-        if isinstance(node, Or):
-            return a.union(b).distinct()
-        return a.join(b, "docid", "left_anti").union(b.join(a, "docid", "left_anti"))
+        (a, not_a), (b, not_b) = self._fetch(node.left, base), self._fetch(node.right, base)
+        if isinstance(node, Xor):
+            return docset.xor(a, b), not_a != not_b
+        flip = isinstance(node, Or)  # a | b = !(!a & !b)
+        not_a, not_b = not_a != flip, not_b != flip
+        if not_a and not_b:
+            return docset.union(a, b), not flip
+        found = docset.subtract(a, b) if not_b else docset.subtract(b, a) if not_a else docset.intersect(a, b)
+        return found, flip
 
     def convert(self, found: DataFrame, source: str, target: str, index: str | None = None) -> DataFrame:
         """Documents of ``target`` that share a key with documents found in ``source``, through
@@ -152,7 +185,7 @@ class Compiler:
             return base.table.where(_expression(node, leaf)).select(F.col(base.docid).alias("docid"))
         if isinstance(node, Term):  # one positive term: a filter on its postings
             p = base._many(node.index)
-            return p.table.where(groups[id(p.table), p.docid][0][1]).select(F.col(p.docid).alias("docid")).distinct()
+            return self._met(p.table.where(groups[id(p.table), p.docid][0][1]).select(F.col(p.docid).alias("docid")).distinct(), base)
         frames = []
         for n, (key, own) in enumerate(groups.items()):
             p = tables[key]
@@ -165,13 +198,16 @@ class Compiler:
             frames.append(flags)
             leaf |= {t: F.coalesce(F.col(name), F.lit(False)) for name, (t, _) in zip(names, own, strict=True)}
         if len(frames) == 1 and len(leaf) == sum(map(len, groups.values())) and not _holds(node, dict.fromkeys(terms, False)):
-            return frames[0].where(_expression(node, leaf)).select("docid")
+            return self._met(frames[0].where(_expression(node, leaf)).select("docid"), base)
         needed = sorted({base.single[t.index][0] for t in terms if t.index in base.single})
         out = base.table.select(F.col(base.docid).alias("docid"), *[c for c in needed if c != base.docid], *([F.col(base.docid)] if base.docid in needed and base.docid != "docid" else []))
         for flags in frames:
             out = out.join(flags, "docid", "left")
         return out.where(_expression(node, leaf)).select("docid")
 
+    def _met(self, found: DataFrame, base: Base) -> DataFrame:
+        return found if base.closed else found.join(base.universe(), "docid", "left_semi")
+
 
 def _plain(node: Node) -> Node:
     """The tree as its own docbase sees it."""
@@ -183,4 +219,4 @@ def _plain(node: Node) -> Node:
     return type(node)(_plain(node.left), _plain(node.right))
 
 
-__all__ = ["Base", "Compiler", "Postings", "Xor", "compare"]
+__all__ = ["Base", "Compiler", "Postings", "compare"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +31,33 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     are not reproducible (row numbers) are fixed once for all later uses.
     """
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/foliant/{label}-{uuid.uuid4().hex}"
+    path = folder(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def filesystem(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    """Hadoop's file system of a path, and the path as it knows it."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = own.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs, fs.makeQualified(own)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, written from the driver to wherever executors read."""
+    fs, own = filesystem(spark, path)
+    out = fs.create(own, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, own = filesystem(spark, path)
+    fs.delete(own, True)
+
+
+def folder(spark: SparkSession, label: str) -> str:
+    """The path of a new folder in the shared one."""
+    return f"{work_dir(spark)}/foliant/{label}-{uuid.uuid4().hex}"

@@ -6,7 +6,7 @@ import pytest
 
 from foliant.plans.compiler import Base, Compiler, Postings
 from foliant.plans.parser import parse
-from foliant.plans.tree import And, Not, Or, Term, Xor
+from foliant.plans.tree import And, Not, Or, Pair, Term, Xor
 
 DOCS = {1: [], 2: [5], 3: [10], 4: [5, 10], 5: [12], 6: [5, 12], 7: [10, 12], 8: [3, 4]}
 SINGLE = {d: (d % 3 if d != 5 else None) for d in DOCS}
@@ -102,3 +102,72 @@ def test_other_docbase(spark):
     ids = lambda t: {r.docid for r in c.query(t, "a").collect()}
     assert ids("b.n = 5") == {1, 3} and ids("b.n = 6") == set()
     assert ids("ref = x & b.n = 5") == {1} and ids("ref = y | b.n = 5") == {1, 2, 3} and ids("ref = x ^ b.n = 5") == {3}
+
+
+@pytest.fixture(scope="module")
+def linked(spark):
+    """A docbase and another one with three keys of it for each document, some of them strange."""
+    rng = random.Random(4)
+    a = spark.createDataFrame([(d, d % 4, d % 3) for d in range(1, 13)], "id long, ref int, s int")
+    rows = [(d, rng.randrange(6)) for d in range(1, 9) for _ in range(2)]
+    b = spark.createDataFrame([(d, d % 5) for d in range(1, 9)], "id long, n int")
+    refs = spark.createDataFrame(rows, "doc long, ref int")
+    bases = {"a": Base("a", a, "id", {"ref": ("ref", "int32"), "s": ("s", "int32")}), "b": Base("b", b, "id", {"n": ("n", "int32")}, {"ref": Postings(refs, "doc", "ref", "int32")})}
+    return bases, {d: (d % 4, d % 3) for d in range(1, 13)}, {d: (d % 5, {r for x, r in rows if x == d}) for d in range(1, 9)}
+
+
+def linked_oracle(node, a, b):
+    if all(t.base == "b" for t in node.terms()) and not isinstance(node, Not):
+        def holds(n, d):
+            if isinstance(n, Term):
+                v, c = b[d][0], int(n.value)
+                return v != c if n.op == "!=" else OPS[n.op](v, c)
+            if isinstance(n, Not):
+                return not holds(n.child, d)
+            x, y = holds(n.left, d), holds(n.right, d)
+            return x and y if isinstance(n, And) else x or y if isinstance(n, Or) else x != y
+
+        refs = {r for d in b if holds(node, d) for r in b[d][1]}
+        return {d for d in a if a[d][0] in refs}
+    if isinstance(node, Term):
+        v = {d: a[d][0 if node.index == "ref" else 1] for d in a}
+        return {d for d in a if (v[d] != int(node.value) if node.op == "!=" else OPS[node.op](v[d], int(node.value)))}
+    if isinstance(node, Not):
+        return set(a) - linked_oracle(node.child, a, b)
+    x, y = linked_oracle(node.left, a, b), linked_oracle(node.right, a, b)
+    return x & y if isinstance(node, And) else x | y if isinstance(node, Or) else x ^ y
+
+
+def test_negation_across_docbases_is_a_complement(linked):
+    bases, a, b = linked
+    rng = random.Random(11)
+
+    def tree(n):
+        if n == 0:
+            own = rng.random() < 0.5
+            return Term(rng.choice(["ref", "s"]) if own else "n", rng.choice([*OPS, "!="]), str(rng.randrange(5)), None if own else "b")
+        kind = rng.choice([And, Or, Xor, Not])
+        return Not(tree(n - 1)) if kind is Not else kind(tree(n - 1), tree(rng.randrange(n)))
+
+    for _ in range(8):
+        t = tree(3)
+        ids = [{r.docid for r in Compiler(bases).query(q, "a").collect()} for q in (t, Not(t))]
+        assert ids[0] == linked_oracle(t, a, b), str(t)
+        assert not ids[0] & ids[1] and ids[0] | ids[1] == set(a), str(t)
+
+
+def test_no_query(bases):
+    with pytest.raises(ValueError):
+        Compiler(bases).query(Not(Pair(parse("k = 1"), parse("k = 2"))), "b")
+
+
+def test_strays(spark, bases):
+    table = spark.createDataFrame([(1,)], "id long")
+    keys = spark.createDataFrame([(1, 5), (2, 5)], "doc long, k long")
+    open_ = Base("b", table, "id", {}, {"k": Postings(keys, "doc", "k", "int64")}, closed=False)
+    for q in ("k = 5", "k = 5 | k != 5", "k = 5 & k < 9", "k = 5 ^ k = 7"):
+        assert found({"b": open_}, parse(q)) == {1}, q
+    assert [tuple(r) for r in open_.strays().collect()] == [("k", 2)]
+    assert bases["b"].strays().count() == 0
+    cells = bases["b"].cell("k", spark.createDataFrame([(1,), (4,), (4,)], "docid long")).collect()
+    assert sorted(map(tuple, cells), key=repr) == [(1, None), (4, 10), (4, 5)]
