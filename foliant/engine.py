@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .functions.keys import key_type
+from .functions.keys import key_text, key_type
 from .operators import docbase, index
 from .operators.results import Results
 from .operators.store import Store
@@ -12,6 +13,7 @@ from .plans.catalog import Catalog, IndexDef
 from .plans.compiler import Base, Compiler, Postings
 from .plans.tree import Node
 from .sources.documents import extract_keys, read_documents
+from .storage import stored
 
 
 class Engine:
@@ -34,6 +36,7 @@ class Engine:
         store, version, docs, postings = self._state(base)
         definition = self.catalog.by_name(base)
         after = docbase.upsert(docs, batch, definition.capacity)
+        after = stored(after, "after")  # each index reads it
         touched = after.join(batch.select("name").distinct(), "name", "left_semi").select("docid", "content")
         fresh = {n: docbase.reindex(postings[n], extract_keys(touched, i, self.mode), touched) for n, i in definition.indexes.items()}
         for n, i in definition.indexes.items():
@@ -62,6 +65,19 @@ class Engine:
         bases = self.bases()
         return Results(Compiler(bases, self.dialect).query(text, base), bases[base].table)
 
+    def dump(self, base: str) -> DataFrame:
+        """``section, line``: what a docbase has.  Its header (folder, capacity, next free id, the
+        indexes that lead to other docbases), the map of ids to names, and each index."""
+        definition, (_, _, docs, postings) = self.catalog.by_name(base), self._state(base)
+        links = " ".join(n for n, own in self.catalog.links().items() if base in own)
+        free = docbase.lowest_free(docs, definition.capacity)
+        head = free.select(F.lit("head").alias("section"), F.concat_ws(" ", F.lit(base), F.lit(definition.directory), F.lit("capacity"), F.lit(definition.capacity), F.lit("next"), "docid", F.lit("links"), F.lit(links)).alias("line"))
+        out = head.union(docs.select(F.lit("map"), F.concat_ws(" ", "docid", "name")))
+        for n, i in definition.indexes.items():
+            rows = index.show(postings[n])
+            out = out.union(rows.select(F.lit(f"index {n}"), F.concat(key_text(F.col("key"), i.type), F.lit(":"), "docids")))
+        return out
+
     def describe(self) -> DataFrame:
         """``base, directory, capacity, documents, next_docid, index, type, path, keys``."""
         rows = []

@@ -22,10 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import Engine
-from .functions.keys import key_type
+from .functions.keys import key_text, key_type
 from .operators import index
 from .operators.store import Store
 from .plans.catalog import Catalog, load_catalog
+from .storage import stored
 
 GROUP = re.compile(r"\(\s*(\"(?:[^\"\\]|\\.)*\"|[^\s:()]+)\s*:\s*([\d\s]+)\)")
 
@@ -79,10 +80,10 @@ class Shell:
 
     def do_show(self, rest: str) -> Iterator[str]:
         _, version, postings, kind, capacity = self._load(rest.strip())
-        rows = index.show(postings).orderBy("key").collect()
-        yield f"index {rest.strip()} version {version} type {kind} capacity {capacity} keys {len(rows)}"
-        for r in rows:
-            yield f"{r['key']}:{r['docids']}"
+        rows = stored(index.show(postings).select("key", key_text(F.col("key"), kind).alias("text"), "docids"), "show")
+        yield f"index {rest.strip()} version {version} type {kind} capacity {capacity} keys {rows.count()}"
+        for r in rows.orderBy("key").select("text", "docids").toLocalIterator():
+            yield f"{r['text']}:{r['docids']}"
 
     def do_put(self, rest: str) -> Iterator[str]:
         name, _, groups = rest.strip().partition(" ")
@@ -102,8 +103,8 @@ class Shell:
         t = key_type(kind)
         asked = self.spark.createDataFrame([(n, t.literal(_unquoted(k))) for n, k in enumerate(keys)], f"n int, key {t.spark}")
         found = index.show(postings.join(F.broadcast(asked.select("key")), "key", "left_semi"))
-        for r in asked.join(found, "key", "left").orderBy("n").collect():
-            yield f"{r['key']}:{r['docids'] or ''}"
+        for r in asked.join(found, "key", "left").orderBy("n").select(key_text(F.col("key"), kind).alias("text"), "docids").collect():
+            yield f"{r['text']}:{r['docids'] or ''}"
 
     # --- docbases -----------------------------------------------------------------------------
 

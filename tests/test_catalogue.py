@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from foliant import catalogue
+from foliant import catalogue_files as catalogue
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -31,7 +31,17 @@ def test_query(spark, con, name):
     assert got == want
 
 
-def test_entry_survives_without_optional_parts():
+@pytest.mark.parametrize("missing", ["foliant.llm", "corpus_pipeline", "a_library"])
+def test_entry_survives_without_optional_parts(monkeypatch, recwarn, missing):
+    import importlib
+
     import __spark_entry__ as e
 
     assert set(catalogue.QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+    def absent(name):
+        raise ModuleNotFoundError(f"No module named {missing!r}", name=missing)
+
+    monkeypatch.setattr(importlib, "import_module", absent)
+    assert set(e.queries()) == set(catalogue.QUERIES) and set(e.oracle_sql()) == set(catalogue.ORACLE_SQL)
+    assert any("a_library" in str(w.message) for w in recwarn) == (missing == "a_library")

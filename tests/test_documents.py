@@ -7,7 +7,7 @@ import pytest
 from foliant.engine import Engine
 from foliant.functions.keys import key_type
 from foliant.operators import docbase, index
-from foliant.operators.store import Store
+from foliant.operators.store import ConflictError, Store
 from foliant.plans.catalog import load_catalog
 from foliant.shell import CommandError, Shell
 from foliant.sources import documents as D
@@ -57,6 +57,8 @@ def test_allocation(spark):
     assert docbase.lowest_free(docs, 5).first()[0] == 3
     with pytest.raises(docbase.CapacityError):
         docbase.allocate(docs, names, 5)
+    used = spark.range(1, 10_001).where("id % 5000 <> 0").selectExpr("id AS docid", "CAST(id AS STRING) AS name", "'' AS content")
+    assert rows(docbase.allocate(used, names.limit(3), 1 << 40)) == [("b", 5000), ("d", 10000), ("e", 10001)]
     batch = spark.createDataFrame([("b", "new"), ("z", "z1")], "name string, content string")
     assert rows(docbase.upsert(docs, batch, 10)) == [(1, "a", "x"), (2, "b", "new"), (3, "z", "z1"), (5, "c", "x")]
 
@@ -88,6 +90,13 @@ def test_store_guards_against_lost_updates(spark, tmp_path):
     assert s.version() == 0 and s.commit(one, {"i": one}, expected=0) == 1
     with pytest.raises(RuntimeError):
         s.commit(one, {"i": one}, expected=0)
+    # a writer that saw the same version, but comes to publishing second
+    late = Store(spark, s.root)
+    late.version = lambda: 0
+    with pytest.raises(ConflictError):
+        late.commit(one, {"i": one}, expected=0)
+    assert s.version() == 1 and [tuple(r) for r in s.index("i").collect()] == [(1, 1)]
+    assert not [p for p in (tmp_path / "s").iterdir() if p.name.startswith("_new")]
 
 
 CATALOG = """<c><documents name="recipes" dir="{d}/recipes" capacity="5"><indexes><index name="id" type="string"><key>/recipe/id</key></index>
