@@ -1,9 +1,10 @@
 """Cost-balanced packing of token sequences.
 
-Attention over a piece of n tokens costs ``LINEAR * n + QUADRATIC * n * n``.  A document is cut
+Ids are those of the ``tokenizers`` library for the vocabulary's file: added tokens that a text
+spells out are matched first, as the library does by default.  Attention over a piece of n tokens costs ``LINEAR * n + QUADRATIC * n * n``.  A document is cut
 into full sequences first; the rests of a block of documents are then taken from the longest
-down, each to the sequence of lowest cost so far that has room for it.  What has no room as a
-whole is cut to fill the room that is left, so that nothing but the end of a block is short of
+down, each to the sequence of lowest cost so far that has room for it, whichever that is.  What
+has no room in any sequence as a whole is cut to fill the room that is left, so that nothing but the end of a block is short of
 a full sequence; that end is cut into sequences of powers of two, which need no padding.
 """
 
@@ -12,6 +13,7 @@ from __future__ import annotations
 import functools
 import heapq
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,14 +32,16 @@ BLOCK = 4096
 MEMO = 400_000
 
 
-def byte_ranks(path: str) -> dict[bytes, int]:
-    """Ranks of a byte-level BPE from its ``tokenizers`` file; special tokens are left out."""
+def read_model(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """Ranks of a byte-level BPE from its ``tokenizers`` file, and the ids of its added tokens."""
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
     seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
     back = {chr(b): b for b in seen} | {chr(256 + k): b for k, b in enumerate(x for x in range(256) if x not in seen)}
-    special = {t["content"] for t in model.get("added_tokens", [])}
-    return {bytes(back[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in special}
+    added = {t["content"]: t["id"] for t in model.get("added_tokens", [])}
+    if any(t.get(k) for t in model.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens that look at their surroundings are not supported")
+    return {bytes(back[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in added}, added
 
 
 class WordEncoder:
@@ -49,16 +53,22 @@ class WordEncoder:
     """
 
     def __init__(self, path: str, pattern: str):
-        ranks = byte_ranks(path)
+        ranks, self.added = read_model(path)
         self.codec = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
         for t, i in ranks.items():
             self.sizes[i] = len(t)
         self.memo: dict[str, bytes] = {}
+        longest = sorted(self.added, key=len, reverse=True)
+        self.spelt = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else re.compile(r"(?!)")
 
     def whole(self, text: str) -> bytes:
         return np.array(self.codec.encode_ordinary(text), "<u4").tobytes()
 
+    def parted(self, text: str) -> bytes:
+        """A text with added tokens in it: each is an id, and what lies between is encoded apart."""
+        return b"".join(np.array([self.added[p]], "<u4").tobytes() if k % 2 else self.whole(p) for k, p in enumerate(self.spelt.split(text)))
+
     def learn(self, words: list[str]) -> dict[str, bytes]:
         if not words:
             return {}
@@ -81,6 +91,9 @@ class WordEncoder:
         missing: set[str] = set()
         memo = self.memo
         for k, t in enumerate(texts):
+            if self.spelt.search(t):
+                out[k] = self.parted(t)
+                continue
             words = t.split(" ")
             # white space beside a space, or at an end: no plain words
             if len(words) < 2 or any(not w or w[0].isspace() or w[-1].isspace() for w in set(words)):
@@ -109,6 +122,49 @@ def encoder(path: str, pattern: str) -> WordEncoder:
     return WordEncoder(path, pattern)
 
 
+class Rooms:
+    """Sequences by the room that is left: the cheapest of those with room enough is found in a
+    tree over all rooms, whose nodes have the cheapest below them."""
+
+    NONE = (float("inf"), -1)
+
+    def __init__(self, full: int, capacity: int):
+        self.half = 1 << capacity.bit_length()
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in range(capacity + 1)]
+        self.tree = [self.NONE] * (2 * self.half)
+        self.heaps[capacity] = [(0.0, b) for b in range(full)]
+        self._changed(capacity)
+
+    def _changed(self, room: int) -> None:
+        heap, tree, k = self.heaps[room], self.tree, self.half + room
+        tree[k] = heap[0] if heap else self.NONE
+        while k > 1:
+            k >>= 1
+            best = min(tree[2 * k], tree[2 * k + 1])
+            if tree[k] == best:
+                return
+            tree[k] = best
+
+    def cheapest(self, need: int) -> tuple[float, int]:
+        """Cost and number of the cheapest sequence with room for ``need``; number -1 if none has."""
+        tree, k = self.tree, self.half + need
+        best = tree[k]
+        while k > 1:
+            if not k & 1 and tree[k + 1] < best:
+                best = tree[k + 1]
+            k >>= 1
+        return best
+
+    def fill(self, sequence: int, cost: float, before: int, after: int) -> None:
+        """The cheapest sequence of a room has ``cost`` and less room now."""
+        assert self.heaps[before][0][1] == sequence
+        heapq.heappop(self.heaps[before])
+        self._changed(before)
+        if after:
+            heapq.heappush(self.heaps[after], (cost, sequence))
+            self._changed(after)
+
+
 def balanced(lengths: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
     """Pack items of ``1 <= length < capacity``: a list of ``(item, start, length)`` for each
     sequence.  All sequences are full but the last ones, whose lengths are powers of two."""
@@ -116,27 +172,17 @@ def balanced(lengths: list[int], capacity: int) -> list[list[tuple[int, int, int
     full = total // capacity
     bins: list[list[tuple[int, int, int]]] = [[] for _ in range(full)]
     room = [capacity] * full
-    heap = [(0.0, b) for b in range(full)]
+    rooms = Rooms(full, capacity)
     left: list[tuple[int, int, int]] = []
     for item in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
-        n, aside = lengths[item], []
-        # room only shrinks and lengths descend: a sequence is tried again for shorter ones
-        while heap:
-            cost, b = heapq.heappop(heap)
-            if room[b] >= n:
-                bins[b].append((item, 0, n))
-                room[b] -= n
-                if room[b]:
-                    heapq.heappush(heap, (cost + LINEAR * n + QUADRATIC * n * n, b))
-                break
-            aside.append((cost, b))
-            if len(aside) >= 64:  # no room as a whole nearby: it is cut below
-                left.append((item, 0, n))
-                break
-        else:
+        n = lengths[item]
+        cost, b = rooms.cheapest(n)
+        if b < 0:
             left.append((item, 0, n))
-        for x in aside:
-            heapq.heappush(heap, x)
+            continue
+        bins[b].append((item, 0, n))
+        rooms.fill(b, cost + LINEAR * n + QUADRATIC * n * n, room[b], room[b] - n)
+        room[b] -= n
     gaps = [b for b in range(full) if room[b]]
     tail: list[tuple[int, int, int]] = []
     for item, start, n in left:
@@ -174,7 +220,8 @@ SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id
 
 def pack(docs: DataFrame, path: str, pattern: str, capacity: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, block: int = BLOCK) -> DataFrame:
     """One row for each piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``
-    (and ``ids``, binary, on demand).  Each document ends with ``end_id``.
+    (and ``ids``, binary, on demand).  Each document ends with ``end_id``.  Texts are encoded as
+    the library does with ``add_special_tokens=False``; an added token that is spelt out is its id.
 
     There is no shuffle: each input partition packs its own documents, a block of rests at a
     time; sequence ids are the partition's number and a counter, the same on every attempt.
