@@ -29,6 +29,7 @@ PARAGRAPHS = frozenset("p pre td blockquote li dd".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An opening tag of these ends an open paragraph.
 ENDS_P = frozenset("address article aside blockquote center details dialog dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table ul".split())
+P_SCOPE = ENDS_P - {"p"} | {"table", "td", "th", "button"}
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "option": ({"option"}, {"select"})}
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar toolbar".split())
 BAD = frozenset(
@@ -54,13 +55,48 @@ def boilerplate(tag: str, attributes: str) -> bool:
     return False
 
 
+class Open:
+    """The open elements: a stack, and for each tag its places in the stack, so that the nearest
+    one of a name is found without a walk.  Each element is taken off once."""
+
+    def __init__(self) -> None:
+        self.nodes, self.tags = [0], ["#root"]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, node: int, tag: str) -> None:
+        self.places.setdefault(tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+        self.tags.append(tag)
+
+    def last(self, names: frozenset[str] | set[str]) -> int:
+        """The highest place of an element with one of some names; 0 if there is none."""
+        found = 0
+        for name in names if len(names) < len(self.places) else self.places:
+            if name in names and (own := self.places.get(name)) and own[-1] > found:
+                found = own[-1]
+        return found
+
+    def cut(self, place: int) -> None:
+        """Close the element at a place and all within."""
+        for tag in self.tags[place:]:
+            self.places[tag].pop()
+        del self.nodes[place:], self.tags[place:]
+
+    def close(self, tag: str, scope: frozenset[str] | set[str] = frozenset()) -> None:
+        """Close the nearest element of a name, unless one of the scope lies nearer."""
+        own = self.places.get(tag)
+        if own and own[-1] > self.last(scope):
+            self.cut(own[-1])
+
+
 class Tree:
     """Parents and tags of the nodes, and the texts in page order: ``(node, text)``; a text of
     None is a break."""
 
     def __init__(self, page: str):
         self.tags, self.parents, self.texts = ["#root"], [-1], []
-        stack, tags, parents, texts = [0], self.tags, self.parents, self.texts
+        opened, tags, parents, texts = Open(), self.tags, self.parents, self.texts
+        stack = opened.nodes
         dead = at = 0  # dead: depth of the stack at which a dropped element began
         scan = TOKEN.scanner(page)
         while (m := scan.search()) is not None:
@@ -72,23 +108,21 @@ class Tree:
                 continue
             tag, attributes = name.lower(), m[3] or m[6] or ""
             if m[1] or m[4]:
-                self._close(stack, tag)
+                opened.close(tag)
                 if dead and len(stack) < dead:
                     dead = 0
                 if not dead and tag not in INLINE:
                     texts.append((stack[-1], None))
                 continue
             if tag in ENDS_P:
-                self._close(stack, "p", ENDS_P | {"table", "td", "th", "button"})
+                opened.close("p", P_SCOPE)
             if tag in CLOSES:
                 own, scope = CLOSES[tag]
-                for k in range(len(stack) - 1, 0, -1):
-                    if tags[stack[k]] in scope:
+                # a row ends its cells and the row before, others end one element
+                while (place := opened.last(own)) > opened.last(scope):
+                    opened.cut(place)
+                    if tag != "tr":
                         break
-                    if tags[stack[k]] in own:
-                        del stack[k:]
-                        if tag != "tr":
-                            break
             if dead and len(stack) < dead:
                 dead = 0
             if not dead and tag not in INLINE:
@@ -97,7 +131,7 @@ class Tree:
                 continue
             tags.append(tag)
             parents.append(stack[-1])
-            stack.append(len(tags) - 1)
+            opened.push(len(tags) - 1, tag)
             if not dead and boilerplate(tag, attributes):
                 dead = len(stack)
             if tag in RAW:  # no markup until the end tag
@@ -107,15 +141,6 @@ class Tree:
         if at < len(page) and not dead:
             texts.append((stack[-1], page[at:]))
 
-    def _close(self, stack: list[int], tag: str, scope: frozenset[str] | set[str] = frozenset()) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            found = self.tags[stack[k]]
-            if found == tag:
-                del stack[k:]
-                return
-            if found in scope:
-                return
-
 
 def extract(page: str) -> str:
     """The main text of a page; empty if it has none."""
@@ -144,18 +169,16 @@ def extract(page: str) -> str:
     for k in range(n - 1, 0, -1):
         size[parents[k]] += size[k]
         linked[parents[k]] += linked[k]
-    score = [0.0] * n
-    for k in range(n):
+    score, given = [0.0] * n, [0.0] * n  # given: what a node has from below, halved with each step up
+    for k in range(n - 1, 0, -1):
+        points = 0.0
         # paragraphs, and other blocks that hold text of their own
-        if not own[k] or tags[k] in HEADINGS or tags[k] in INLINE:
-            continue
-        points = (1 + commas[k] + min(own[k] / 100, 3)) * (1 - linked[k] / max(1, size[k]))
-        if tags[k] not in PARAGRAPHS:
-            score[k] += points
-        up, share = parents[k], 1.0
-        while up > 0:
-            score[up] += points * share
-            up, share = parents[up], share / 2
+        if own[k] and tags[k] not in HEADINGS and tags[k] not in INLINE:
+            points = (1 + commas[k] + min(own[k] / 100, 3)) * (1 - linked[k] / max(1, size[k]))
+        score[k] = given[k] + (0.0 if tags[k] in PARAGRAPHS else points)
+        given[parents[k]] += points + given[k] / 2
+    if own[0]:
+        score[0] = (1 + commas[0] + min(own[0] / 100, 3)) * (1 - linked[0] / max(1, size[0]))
     for k in range(n):
         score[k] *= 1 - linked[k] / max(1, size[k])
     best = max(range(n), key=lambda k: (score[k], -k))

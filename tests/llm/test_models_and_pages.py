@@ -2,6 +2,7 @@ import collections
 import math
 import os
 import random
+import time
 import zlib
 
 import numpy as np
@@ -194,6 +195,20 @@ def test_broken_markup_is_linear_and_safe():
     html_text.extract("<div>" * 20_000 + "x" + "<a '" * 5000)
 
 
+@pytest.mark.parametrize("make", [lambda n: "<div>" * n + "x", lambda n: "<div>" * n + "x</p></b>" * n, lambda n: "<p><button>" + "<span>" * n + "<div></div>" * n + "x", lambda n: "<div><p>a, b</p>" * n, lambda n: "<table><tr>" + "<i>" * n + "<li>x" * n])
+def test_deep_markup_takes_linear_time(make):
+    """Ten times the tags, about ten times the time, however deep they lie and whatever ends them."""
+    took = []
+    for n in (4_000, 40_000):
+        best = math.inf
+        for _ in range(2):
+            start = time.process_time()
+            html_text.extract(make(n))
+            best = min(best, time.process_time() - start)
+        took.append(best)
+    assert took[1] < 30 * max(took[0], 0.01)
+
+
 def test_main_texts(spark):
     rows = [(1, "u", "<article><p>é</p></article>"), (1, "u", "<article><p>é</p></article>"), (2, None, None), (None, "v", "")]
     df = spark.createDataFrame([(*r, "t") for r in rows], "page_id long, url string, html string, text string")
