@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..storage import stored, work_dir
 
-__all__ = ["SPACE", "crc", "crc_mod", "raw_bytes", "slices", "stored", "table", "texts", "work_dir"]
+__all__ = ["SPACE", "crc", "crc_mod", "few", "raw_bytes", "slices", "stored", "table", "texts", "work_dir"]
 
 #: White space of the contracts: U+0020 and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -28,6 +28,27 @@ def crc_mod(doc_id: str | Column, mod: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % mod
 
 
+def few(rows: DataFrame, h: Column, limit: int) -> DataFrame:
+    """``limit`` rows at most, those of the smallest hashes (column ``h``, 64 bits): all that lie
+    below a bound.  The bound comes from counts of ranges of hashes, 4,096 numbers whatever the
+    size of the table, and no rows are sorted or gathered to find it.  Fewer rows than ``limit``
+    are left by the range that would exceed it, so equal hashes should be rare.
+    """
+    total = rows.count()
+    if total <= limit:
+        return rows
+    space = 1 << 62
+    u = h.bitwiseAND(space - 1)
+    top = min(space, 2 * limit * space // total)
+    width = max(1, -(-top // 4096))
+    part = F.floor(u / F.lit(width)).cast("long")
+    counts = dict(rows.where(u < top).groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
+    taken = ranges = 0
+    while ranges < 4096 and taken + counts.get(ranges, 0) <= limit:
+        taken, ranges = taken + counts.get(ranges, 0), ranges + 1
+    return rows.where(part < ranges).where(u < top)
+
+
 def texts(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 

@@ -132,6 +132,69 @@ def test_decoder_reads_long_tokens(tables):
     assert isinstance(d.words("ab1" * 100_000), set)
 
 
+def exhaustive(d, token):
+    """The least cost of all readings of a token."""
+    best = math.inf
+
+    def go(k, state, cost):
+        nonlocal best
+        if k == len(token):
+            best = min(best, cost - d.rows[state][0])
+            return
+        for x, extra in d.options(token, k):
+            if x < 0:
+                go(k + 1, state, cost + extra)
+            else:
+                go(k + 1, state % toxicity.N * toxicity.N + x, cost + extra - d.rows[state][x])
+
+    go(0, 0, 0.0)
+    return best
+
+
+def test_decoding_is_exact():
+    """Against every path of the lattice, under a model that has no opinion that a beam could follow."""
+    rng = np.random.default_rng(5)
+    model = np.log(rng.dirichlet(np.ones(toxicity.N) * 0.3, (toxicity.N, toxicity.N)) + 1e-9).astype(np.float32)
+    d, py = toxicity.Decoder(model), random.Random(6)
+
+    def cost(token, words):
+        """The cheapest path that reads as the decoder says."""
+        best = math.inf
+
+        def go(k, state, c, said):
+            nonlocal best
+            if k == len(token):
+                text = "".join(toxicity.LETTERS[x - 1] if x else " " for x in said)
+                if tuple(w for w in text.split() if len(w) > 1) == words:
+                    best = min(best, c - d.rows[state][0])
+                return
+            for x, extra in d.options(token, k):
+                if x < 0:
+                    go(k + 1, state, c + extra, said)
+                else:
+                    go(k + 1, state % toxicity.N * toxicity.N + x, c + extra - d.rows[state][x], [*said, x])
+
+        go(0, 0, 0.0, [])
+        return best
+
+    for _ in range(60):
+        token = "".join(py.choices("ab*16|!$ c5", k=py.randint(1, 7)))
+        assert cost(token, d.decode(token)) == pytest.approx(exhaustive(d, token), abs=1e-6), token
+
+
+def test_few_rows(spark):
+    from pyspark.sql import functions as F
+
+    from foliant.llm.common import few
+
+    rows = spark.range(50_000).repartition(7)
+    got = {r.id for r in few(rows, F.xxhash64("id"), 400).collect()}
+    assert 380 <= len(got) <= 400
+    hashes = sorted((r.h, r.id) for r in rows.select("id", F.xxhash64("id").bitwiseAND((1 << 62) - 1).alias("h")).collect())
+    assert got == {i for _, i in hashes[: len(got)]}
+    assert few(rows.limit(30), F.xxhash64("id"), 400).count() == 30 and few(rows.limit(0), F.xxhash64("id"), 4).count() == 0
+
+
 def test_trigram_counts_by_hand(spark):
     rows = [(1, "Ab"), (2, None), (3, "a1b é"), (4, "中a")]
     got = toxicity.trigram_counts(docs_frame(spark, rows))
@@ -150,6 +213,8 @@ def test_held_out_accuracy(spark, tables):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got.values())
     assert sum(r.predicted == y for r, y in held) / len(held) >= 0.97
     assert sum(r.predicted > y for r, y in held) <= 3
+    toxic = [r for r, y in held if y == 1]
+    assert sum(r.predicted for r in toxic) / len(toxic) >= 0.85
 
 
 def test_toxicity_edges(spark):
