@@ -1,24 +1,26 @@
-"""A gated recurrent network over word classes, in numpy.
+"""A gated recurrent network over words in classes, in numpy.
 
-Inputs are ids with a row each in a table that is already projected to the gates; outputs are
-classes.  Lanes are documents: they run side by side, the longest first, window by window, and
-each lane's state is carried from one window to the next.
+Inputs are ids with a row each in a table that is already projected to the gates.  The output is
+factored: a softmax over classes, and within a class one over its frequent words and the rest of
+it, both from the network's state.  Lanes hold documents one after another, so that all lanes are
+busy; they run side by side, window by window, and a lane's state is carried from one window to
+the next until its document ends.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import heapq
+from collections.abc import Iterator
+from dataclasses import dataclass, fields
 
 import numpy as np
 
 #: Steps through which errors are sent back.
 WINDOW = 24
-#: Documents that run side by side.
-LANES = 512
-
-
-def shapes(inputs: int, hidden: int, classes: int) -> dict[str, tuple[int, ...]]:
-    return {"table": (inputs, 3 * hidden), "u": (hidden, 3 * hidden), "out": (hidden, classes), "bias": (classes,)}
+#: Documents that run side by side, at most; windows that an epoch has at least, if it can with LEAST lanes.
+LANES, UPDATES, LEAST = 768, 300, 32
+#: The bias of a word that a class does not have.
+NEVER = -1e9
 
 
 @dataclass
@@ -27,94 +29,151 @@ class Gru:
     u: np.ndarray
     out: np.ndarray
     bias: np.ndarray
+    inner: np.ndarray  # class -> state to words; word 0 stands for all that have no place of their own
+    inner_bias: np.ndarray
 
     @staticmethod
-    def new(inputs: int, hidden: int, bias: np.ndarray, seed: int = 0) -> Gru:
+    def new(inputs: int, hidden: int, bias: np.ndarray, inner_bias: np.ndarray, seed: int = 0) -> Gru:
         rng = np.random.default_rng(seed)
-        size = shapes(inputs, hidden, len(bias))
-        draw = lambda k: rng.normal(0, 0.2, size[k]).astype(np.float32)
-        model = Gru(draw("table"), draw("u"), draw("out"), bias.astype(np.float32))
+        draw = lambda *size: rng.normal(0, 0.2, size).astype(np.float32)
+        model = Gru(draw(inputs, 3 * hidden), draw(hidden, 3 * hidden), draw(hidden, len(bias)), bias.astype(np.float32), np.zeros((len(bias), hidden, inner_bias.shape[1]), np.float32), inner_bias.astype(np.float32))
         model.table[:, :hidden] += 1.0  # keep the state at first
         return model
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([self.table.ravel(), self.u.ravel(), self.out.ravel(), self.bias])
+        return np.concatenate([getattr(self, f.name).ravel() for f in fields(self)])
 
-    @staticmethod
-    def unflat(v: np.ndarray, inputs: int, hidden: int, classes: int) -> Gru:
+    def unflat(self, v: np.ndarray) -> Gru:
+        """A network of this one's shapes."""
         parts, at = {}, 0
-        for k, s in shapes(inputs, hidden, classes).items():
-            n = int(np.prod(s))
-            parts[k] = v[at : at + n].reshape(s).astype(np.float32)
-            at += n
+        for f in fields(self):
+            old = getattr(self, f.name)
+            parts[f.name] = v[at : at + old.size].reshape(old.shape).astype(np.float32)
+            at += old.size
         return Gru(**parts)
 
 
-def _sigmoid(a: np.ndarray) -> np.ndarray:
-    np.negative(a, out=a)
-    np.clip(a, -30, 30, out=a)
-    np.exp(a, out=a)
-    a += 1
-    return np.reciprocal(a, out=a)
-
-
-def forward(m: Gru, x: np.ndarray, h: np.ndarray, keep: bool = False):
-    """States after each step of a window: x is (steps, lanes), h the state before."""
+def forward(m: Gru, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool = False):
+    """States after each step of a window: x is (steps, lanes), h the state before; ``fresh`` marks
+    the first words of documents, whose state before is zero."""
     steps, lanes = x.shape
     k = m.u.shape[0]
-    states = np.empty((steps, lanes, k), np.float32)
+    states = np.empty((steps, lanes, k), m.u.dtype)
     saved = []
-    for t in range(steps):
-        a = m.table[x[t]]
-        b = h @ m.u
-        g = _sigmoid(a[:, : 2 * k] + b[:, : 2 * k])
-        z, r, c = g[:, :k], g[:, k:], b[:, 2 * k :]
-        n = np.tanh(a[:, 2 * k :] + r * c)
-        new = n + z * (h - n)
-        if keep:
-            saved.append((h, z, r, c, n))
-        states[t] = h = new
+    # sigmoids are 1 / (1 + exp(-a)): the sign is taken to the weights
+    table, u = m.table.copy(), m.u.copy()
+    table[:, : 2 * k] *= -1
+    u[:, : 2 * k] *= -1
+    starts = fresh.any(1)
+    with np.errstate(over="ignore"):
+        for t in range(steps):
+            if starts[t]:
+                h = np.where(fresh[t][:, None], 0, h)
+            a = table[x[t]]
+            b = h @ u
+            g = a[:, : 2 * k] + b[:, : 2 * k]
+            np.exp(g, out=g)
+            g += 1
+            np.reciprocal(g, out=g)
+            z, r, c = g[:, :k], g[:, k:], b[:, 2 * k :]
+            n = r * c
+            n += a[:, 2 * k :]
+            np.tanh(n, out=n)
+            new = h - n
+            new *= z
+            new += n
+            if keep:
+                saved.append((h, z, r, c, n))
+            states[t] = h = new
     return states, h, saved
 
 
-def log_softmax(m: Gru, states: np.ndarray) -> np.ndarray:
-    o = states.reshape(-1, states.shape[-1]) @ m.out
-    o += m.bias
-    o -= o.max(1, keepdims=True)
-    return o - np.log(np.exp(o).sum(1, keepdims=True))
-
-
-def _windows(lengths: np.ndarray, x: list[np.ndarray], y: list[np.ndarray], size: int):
-    """(lanes alive, x, y) of each window, y -1 after a document's end; documents come longest first."""
-    if not len(lengths):
-        return
-    flat_x, flat_y = np.concatenate(x), np.concatenate(y)
-    starts = np.cumsum(lengths) - lengths
-    for t in range(0, int(lengths[0]), size):
-        live = int(np.searchsorted(-lengths, -t, side="left"))
-        at = t + np.arange(min(size, int(lengths[0]) - t))[:, None]
-        inside = at < lengths[:live]
-        place = np.where(inside, starts[:live] + at, 0)
-        yield live, flat_x[place], np.where(inside, flat_y[place], -1)
-
-
-def log_likelihood(m: Gru, x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
-    """Natural log probability of the classes of each document, complete."""
-    out = np.zeros(len(x))
-    order = sorted(range(len(x)), key=lambda i: -len(x[i]))
-    for at in range(0, len(order), LANES):
-        own = order[at : at + LANES]
-        xs, ys = [x[i] for i in own], [y[i] for i in own]
-        h = np.zeros((len(own), m.u.shape[0]), np.float32)
-        total = np.zeros(len(own))
-        for live, wx, wy in _windows(np.array([len(a) for a in xs]), xs, ys, WINDOW):
-            states, h, _ = forward(m, wx, h[:live])
-            p = log_softmax(m, states)
-            flat = wy.ravel()
-            got = np.where(flat >= 0, p[np.arange(len(flat)), np.maximum(flat, 0)], 0.0)
-            total[:live] += got.reshape(wy.shape).sum(0, dtype=np.float64)
-        out[own] = total
-    return out
+def log_softmax(o: np.ndarray) -> np.ndarray:
+    """Along the first axis, in place."""
+    o -= o.max(0)
+    o -= np.log(np.exp(o).sum(0))
+    return o
+
+
+def class_logs(m: Gru, states: np.ndarray) -> np.ndarray:
+    """Log probabilities (classes, rows)."""
+    o = m.out.T @ states.reshape(-1, states.shape[-1]).T
+    o += m.bias[:, None]
+    return log_softmax(o)
+
+
+def by_class(m: Gru, classes: np.ndarray, alive: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of each class that has words of its own; ``alive`` are rows that count."""
+    own = (m.inner_bias[:, 1:] > NEVER / 2).any(1)
+    rows = alive[own[classes[alive]]]
+    order = rows[np.argsort(classes[rows].astype(np.uint8 if len(own) < 256 else np.int64), kind="stable")]
+    edges = np.searchsorted(classes[order], np.arange(len(own) + 1))
+    for k in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
+        yield k, order[edges[k] : edges[k + 1]]
+
+
+def inner_logs(m: Gru, k: int, states: np.ndarray) -> np.ndarray:
+    """Log probabilities of a class's words (words, rows)."""
+    o = m.inner[k].T @ states.T
+    o += m.inner_bias[k][:, None]
+    return log_softmax(o)
+
+
+class Lanes:
+    """Documents in lanes: the longest first, each to the lane that is shortest so far."""
+
+    def __init__(self, lengths: np.ndarray, lanes: int | None = None):
+        self.lengths = lengths
+        self.starts = np.cumsum(lengths) - lengths
+        lanes = max(1, min(lanes or LANES, len(lengths)))
+        heap = [(0, k) for k in range(lanes)]
+        held: list[list[int]] = [[] for _ in range(lanes)]
+        for d in np.argsort(-lengths, kind="stable").tolist():
+            n, k = heap[0]
+            held[k].append(d)
+            heapq.heapreplace(heap, (n + int(lengths[d]), k))
+        # longest lanes first, so that those still running are the first ones
+        held.sort(key=lambda own: -int(lengths[own].sum()) if own else 0)
+        self.held = [np.array(own, np.int64) for own in held if own]
+        self.totals = np.array([int(lengths[own].sum()) for own in self.held], np.int64)
+        #: place in the flat arrays of each lane's tokens, and whether a document begins there
+        self.order = [np.repeat(self.starts[own] - (np.cumsum(lengths[own]) - lengths[own]), lengths[own]) + np.arange(n) for own, n in zip(self.held, self.totals.tolist(), strict=True)]
+
+    def windows(self, size: int = WINDOW) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """``(lanes that run, places (steps, lanes), fresh)``; a place of -1 is before a lane's start.
+
+        All lanes end together: the longest run alone at first, so that the last windows, whose
+        lessons are best remembered, are those of most documents.
+        """
+        begins = np.zeros(int(self.lengths.sum()) + 1, bool)
+        begins[self.starts] = True
+        flat = np.concatenate(self.order) if self.order else np.zeros(0, np.int64)
+        at = np.cumsum(self.totals) - self.totals
+        most = int(self.totals.max(initial=0))
+        for t in range(most % size - size if most % size else 0, most, size):
+            live = int(np.searchsorted(-self.totals, t + size - most, side="left"))
+            steps = t + np.arange(size)[:, None] - (most - self.totals[:live])
+            inside = steps >= 0
+            place = np.where(inside, flat[np.where(inside, at[:live] + steps, 0)], -1)
+            yield live, place, begins[place] & inside
+
+
+def log_likelihood(m: Gru, lengths: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Natural log probability of each document, complete: of its classes ``y`` and of the words
+    ``w`` in them.  Arrays are those of all documents one after another; none is empty."""
+    got = np.zeros(len(x))
+    lanes = Lanes(lengths)
+    h = np.zeros((len(lanes.held), m.u.shape[0]), m.u.dtype)
+    for live, place, fresh in lanes.windows():
+        states, h[:live], _ = forward(m, x[place], fresh, h[:live])
+        flat, rows = place.ravel(), states.reshape(-1, states.shape[-1])
+        alive = np.flatnonzero(flat >= 0)
+        cls = y[flat].astype(np.int64)
+        p = class_logs(m, states)[cls, np.arange(len(flat))].astype(np.float64)
+        for k, own in by_class(m, cls, alive):
+            p[own] += inner_logs(m, k, rows[own])[w[flat[own]], np.arange(len(own))]
+        got[flat[alive]] = p[alive]
+    return np.add.reduceat(got, lanes.starts) if len(lengths) else np.zeros(0)
 
 
 class Trainer:
@@ -122,11 +181,12 @@ class Trainer:
 
     def __init__(self, model: Gru, rate: float):
         self.m, self.rate, self.step = model, rate, 0
-        self.names = ("table", "u", "out", "bias")
+        self.names = [f.name for f in fields(model)]
         self.first = {k: np.zeros_like(getattr(model, k)) for k in self.names}
         self.second = {k: np.zeros_like(getattr(model, k)) for k in self.names}
 
-    def update(self, grads: dict[str, np.ndarray]) -> None:
+    def update(self, grads: dict[str, np.ndarray], share: float = 1.0) -> None:
+        """A step, as long as the share of the lanes that the gradients come from."""
         self.step += 1
         a, b = 1 - 0.9**self.step, 1 - 0.99**self.step
         for k in self.names:
@@ -135,56 +195,69 @@ class Trainer:
             f += 0.1 * (g - f)
             s += 0.01 * (g * g - s)
             w = getattr(self.m, k)
-            w -= self.rate * (f / a) / (np.sqrt(s / b) + 1e-6)
+            w -= self.rate * share * (f / a) / (np.sqrt(s / b) + 1e-6)
 
-    def gradients(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float, int]:
+    def gradients(self, x: np.ndarray, fresh: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float, int]:
+        """Gradients of a window, its last states, loss and tokens; y is -1 where nothing is."""
         m, k = self.m, self.m.u.shape[0]
-        states, last, saved = forward(m, x, h, keep=True)
-        lp = log_softmax(m, states)
-        flat = y.ravel()
+        states, last, saved = forward(m, x, fresh, h, keep=True)
+        s2, flat, word = states.reshape(-1, k), y.ravel(), w.ravel()
+        lp = class_logs(m, states)
         rows = np.flatnonzero(flat >= 0)
         n = max(1, len(rows))
-        loss = -float(lp[rows, flat[rows]].sum())
+        loss = -float(lp[flat[rows], rows].sum(dtype=np.float64))
         d = np.exp(lp)
-        d[rows, flat[rows]] -= 1
-        d[flat < 0] = 0
+        d[flat[rows], rows] -= 1
+        d[:, flat < 0] = 0
         d /= n
-        s2 = states.reshape(-1, k)
-        grads = {"out": s2.T @ d, "bias": d.sum(0)}
-        dstates = (d @ m.out.T).reshape(states.shape)
-        dx = np.empty((*x.shape, 3 * k), np.float32)
+        grads = {"out": s2.T @ d.T, "bias": d.sum(1), "inner": np.zeros_like(m.inner), "inner_bias": np.zeros_like(m.inner_bias)}
+        dstates = (m.out @ d).T.copy()
+        for c, own in by_class(m, flat, rows):
+            at = np.arange(len(own))
+            part = s2[own]
+            e = inner_logs(m, c, part)
+            loss -= float(e[word[own], at].sum(dtype=np.float64))
+            np.exp(e, out=e)
+            e[word[own], at] -= 1
+            e /= n
+            grads["inner"][c] = part.T @ e.T
+            grads["inner_bias"][c] = e.sum(1)
+            dstates[own] += (m.inner[c] @ e).T
+        dstates = dstates.reshape(states.shape)
+        dx = np.empty((*x.shape, 3 * k), m.u.dtype)
         du, dh = np.zeros_like(m.u), np.zeros_like(h)
         ut = m.u.T.copy()
+        starts = fresh.any(1)
         for t in range(len(x) - 1, -1, -1):
             before, z, r, c, nn = saved[t]
             dh = dh + dstates[t]
             dn = dh * (1 - z) * (1 - nn * nn)
-            dz = dh * (before - nn) * z * (1 - z)
-            dr = dn * c * r * (1 - r)
             a = dx[t]
-            a[:, :k], a[:, k : 2 * k], a[:, 2 * k :] = dz, dr, dn
-            b = np.concatenate([dz, dr, dn * r], 1)
-            du += before.T @ b
-            dh = dh * z + b @ ut
+            a[:, :k] = dh * (before - nn) * z * (1 - z)
+            a[:, k : 2 * k] = dn * c * r * (1 - r)
+            a[:, 2 * k :] = dn * r  # as the state's share sees it
+            du += before.T @ a
+            dh = dh * z + a @ ut
+            a[:, 2 * k :] = dn
+            if starts[t]:
+                dh = np.where(fresh[t][:, None], 0, dh)
         ids = x.ravel()
-        order = np.argsort(ids, kind="stable")
+        order = np.argsort(ids.astype(np.uint16), kind="stable") if len(m.table) < 65_536 else np.argsort(ids, kind="stable")
         ids = ids[order]
-        starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        begin = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
         dt = np.zeros_like(m.table)
-        dt[ids[starts]] = np.add.reduceat(dx.reshape(-1, 3 * k)[order], starts, axis=0)
+        dt[ids[begin]] = np.add.reduceat(dx.reshape(-1, 3 * k)[order], begin, axis=0)
         grads |= {"u": du, "table": dt}
         return grads, last, loss, len(rows)
 
-    def epoch(self, x: list[np.ndarray], y: list[np.ndarray]) -> tuple[float, int]:
+    def epoch(self, lengths: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, int]:
         """One pass over documents; loss (natural) and number of tokens."""
         total, tokens = 0.0, 0
-        order = sorted(range(len(x)), key=lambda i: -len(x[i]))
-        for at in range(0, len(order), LANES):
-            own = order[at : at + LANES]
-            xs, ys = [x[i] for i in own], [y[i] for i in own]
-            h = np.zeros((len(own), self.m.u.shape[0]), np.float32)
-            for live, wx, wy in _windows(np.array([len(a) for a in xs]), xs, ys, WINDOW):
-                grads, h, loss, n = self.gradients(wx, wy, h[:live])
-                self.update(grads)
-                total, tokens = total + loss, tokens + n
+        lanes = Lanes(lengths, min(LANES, max(LEAST, int(lengths.sum()) // (WINDOW * UPDATES))))
+        h = np.zeros((len(lanes.held), self.m.u.shape[0]), self.m.u.dtype)
+        for live, place, fresh in lanes.windows():
+            inside = place >= 0
+            grads, h[:live], loss, n = self.gradients(np.where(inside, x[place], 0), fresh, np.where(inside, y[place], -1), w[place].astype(np.int64), h[:live])
+            self.update(grads, n / (len(h) * WINDOW))
+            total, tokens = total + loss, tokens + n
         return total, tokens

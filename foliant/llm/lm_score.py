@@ -1,10 +1,11 @@
 """Document log-likelihoods under a gated recurrent language model with class-factored output.
 
-The probability of a word is that of its class, given by the network's state, times that of the
-word in its class, by smoothed counts.  Classes are spelling clusters times bands of frequency;
-three more stand for the end, for a word never seen in training, and for the word before once
-more.  Counts cover the whole training corpus; so does training: after a short start on the
-driver every partition trains on its own documents and the weights are averaged.
+The probability of a word is that of its class times that of the word in its class, and both are
+softmaxes over the network's state: in a class the most frequent words have a place each, and the
+rest one together, which they share by smoothed counts.  Classes are spelling clusters times bands
+of frequency; three more stand for the end, for a word never seen in training, and for the word
+before once more.  Counts cover the whole training corpus; so does training: after a short start on
+the driver every partition trains on its own documents and the weights are averaged.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, raw_bytes, slices, stored
-from .gru import Gru, Trainer, log_likelihood
+from .common import crc_mod, few, raw_bytes, slices, stored
+from .gru import NEVER, Gru, Trainer, log_likelihood
 
 HIDDEN, CLUSTERS, BANDS, HEAD = 16, 12, 5, 256
 END, UNKNOWN, REPEAT, FIRST = 0, 1, 2, 3
@@ -26,14 +27,21 @@ CLASSES = FIRST + CLUSTERS * BANDS
 #: Input ids: the classes, a start, and a row for each of the most frequent words.
 START = CLASSES
 INPUTS = CLASSES + 1 + HEAD
-#: Frequent words whose spelling makes the clusters; buckets of letter pairs.
+#: Words that have a place of their own in a class, at most.
+PLACES = 15
+#: Frequent words whose spelling makes the clusters, at most; buckets of letter pairs.
 SPELT, PAIRS = 4096, 256
 #: Text of a local dictionary; its words take some three times as much memory as their bytes.
 CHUNK = 24 << 20
-#: Documents of the start on the driver, and their tokens each at most from the beginning of training only.
-WARM, WARM_RATE, RATE = 256, 0.01, 0.003
+#: The start on the driver: stretches of so many tokens, taken from anywhere in all documents alike.
+WARM, STRETCH, WARM_RATE, RATE = 256, 512, 0.01, 0.003
 #: Tokens that a partition trains on or scores at a time.
-TOKENS = 2 << 20
+TOKENS = 4 << 20
+#: Tasks that look words up, at most; there are as many as input partitions otherwise.
+MOST_TASKS = 20_000
+#: An output code is a class, or CLASSES and more for a word with a place; this bit marks a word that
+#: training sees once, which is an unknown one to all the rest of it and so is taught as such.
+ONCE = 1 << 15
 
 
 class Ids(dict):
@@ -90,6 +98,51 @@ def _class(cluster: np.ndarray, c: np.ndarray, total: int) -> np.ndarray:
     return np.where(c > 0, FIRST + cluster * BANDS + band(c, total), UNKNOWN)
 
 
+class Codes:
+    """Output codes: which words of which classes have a place, and how the rest is shared."""
+
+    def __init__(self, words: list[bytes], c: np.ndarray, cls: np.ndarray):
+        """From the most frequent words, in order, with their counts and classes."""
+        self.code: dict[bytes, int] = {}
+        self.cls, self.word = list(range(CLASSES)), [0] * CLASSES
+        self.counts = np.zeros((CLASSES, PLACES + 1))
+        taken = [0] * CLASSES
+        for w, n, k in zip(words, c.tolist(), cls.tolist(), strict=True):
+            if k >= FIRST and taken[k] < PLACES:
+                taken[k] += 1
+                self.code[w] = len(self.cls)
+                self.cls.append(k)
+                self.word.append(taken[k])
+                self.counts[k, taken[k]] = n + 0.5
+
+    def with_rest(self, rest: dict[int, float]) -> Codes:
+        """Smoothed counts of the words of each class that have no place."""
+        self.counts[:, 0] = 0.5
+        for k, n in rest.items():
+            self.counts[k, 0] = n
+        return self
+
+    def inner_bias(self) -> np.ndarray:
+        with np.errstate(divide="ignore"):
+            return np.where(self.counts > 0, np.log(self.counts / self.counts.sum(1, keepdims=True)), NEVER)
+
+
+def frequent(counts: DataFrame, limit: int) -> list[tuple[bytes, int]]:
+    """Words of the highest counts, in order: all above a bound that ``limit`` words reach at most.
+    The bound comes from counts of ranges of counts, some hundred numbers."""
+    step = F.floor(F.log2("c") * 8).cast("int")
+    seen = counts.where("c > 0")
+    left, low = limit, None
+    for r in sorted(seen.groupBy(step.alias("s")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        if r["n"] > left:
+            break
+        left, low = left - r["n"], r["s"]
+    if low is None:
+        return []
+    found = seen.where(step >= low).select("word", "c").collect()
+    return sorted(((bytes(w), c) for w, c in found), key=lambda r: (-r[1], r[0]))
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 1, chunk: int = CHUNK) -> DataFrame:
     """One row for each input row: ``doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score``.
@@ -108,6 +161,28 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold:
     hot word), and ids meet their dictionary again by chunk.  The driver sees the most frequent
     words, class totals and one set of weights: all of fixed size.
     """
+    encoded, total, codes = encode(docs, id_col, text_col, fold, chunk)
+    spark, kind = docs.sparkSession, encoded.schema["doc_id"].dataType.simpleString()
+    model = spark.sparkContext.broadcast((train(encoded, codes) if total else None, codes.cls, codes.word))
+
+    def likelihood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, cls, word = model.value
+        cls, word = np.array(cls, np.uint8), np.array(word, np.uint8)
+        for b in blocks(batches, 2 * TOKENS):
+            p = base = b.column("base_score").to_numpy()
+            if m is not None:
+                lengths, x, y = arrays(b)
+                y = y & (ONCE - 1)
+                p = log_likelihood(m, lengths, x, cls[y], word[y]) / np.log(10) + b.column("inner").to_numpy()
+            yield pa.record_batch([*(b.column(k) for k in range(4)), pa.array(np.full(b.num_rows, total)), pa.array(base), pa.array(np.asarray(p, float))], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return encoded.select("doc_id", "held_out", "n_tokens", "n_known", "base_score", "inner", "x", "y").mapInArrow(likelihood, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 1, chunk: int = CHUNK) -> tuple[DataFrame, int, Codes]:
+    """``(encoded, train_tokens, codes)``: for each row its counts and base score, the inputs ``x``
+    and the codes ``y`` of its words (16 bits each), and the share of those without a place in
+    their classes (``inner``)."""
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (crc_mod(id_col, 5) == fold).alias("held_out"))
     kind = plain.schema["doc_id"].dataType.simpleString()
     NAMES = ["chunk", "local", "word", "n", "doc_id", "held_out", "ids"]
@@ -152,34 +227,36 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold:
     found = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0))).first()
     ends = rows.where("not held_out").count()
     total, kinds = found[0] + ends, found[1] + (ends > 0)
-    top = counts.where("c > 0").orderBy(F.desc("c"), "word").limit(SPELT).collect()
     spark = docs.sparkSession
-    centres = spark.sparkContext.broadcast(clusters([bytes(r["word"]) for r in top], np.array([r["c"] for r in top], float)))
-    head = spark.sparkContext.broadcast({bytes(r["word"]): k for k, r in enumerate(top[:HEAD])})
+    top = frequent(counts, SPELT)
+    words_, c_ = [w for w, _ in top], np.array([c for _, c in top], float)
+    centre_ = clusters(words_, c_)
+    codes = Codes(words_, c_, _class(np.argmax(spelling(words_) @ centre_.T, 1), c_, total))
+    centres = spark.sparkContext.broadcast(centre_)
+    head = spark.sparkContext.broadcast(({w: k for k, w in enumerate(words_[:HEAD])}, codes.code))
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre, first = centres.value, head.value
+        centre, (first, code) = centres.value, head.value
         for b in batches:
             for s in range(0, b.num_rows, 20_000):
                 part = b.slice(s, 20_000)
                 w, c = part.column(0).to_pylist(), part.column(1).to_numpy()
-                cluster = np.argmax(spelling(w) @ centre.T, 1)
-                cls = _class(cluster, c, total)
+                cls = _class(np.argmax(spelling(w) @ centre.T, 1), c, total)
                 x = np.array([CLASSES + 1 + first[k] if k in first else -1 for k in w], np.int64)
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(cls), pa.array(_class(cluster, c - 1, total)), pa.array(np.where(x >= 0, x, cls))], ["word", "c", "cls", "out", "x"])
-
-    classed = stored(counts.mapInArrow(classify, "word binary, c long, cls long, out long, x long"), "classed")
-    sums = np.ones(CLASSES)
-    for r in classed.where("c > 0").groupBy("cls").agg(F.sum(F.col("c") + 0.5).alias("s")).collect():
-        sums[r["cls"]] = r["s"]
-    inner = np.log10(sums)
-    entries = words.select("chunk", "local", "word").join(classed, "word").select("chunk", "local", "c", "cls", "out", "x")
+                y = np.array([code.get(k, -1) for k in w], np.int64)
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(np.where(y >= 0, y, cls)), pa.array(np.where(x >= 0, x, cls))], ["word", "c", "code", "x"])
+
+    classed = stored(counts.mapInArrow(classify, "word binary, c long, code long, x long"), "classed")
+    rest = classed.where(f"c > 0 AND code < {CLASSES}").groupBy("code").agg(F.sum(F.col("c") + 0.5).alias("s")).collect()
+    codes.with_rest({r["code"]: r["s"] for r in rest})
+    inner = np.log10(codes.counts[:, 0])
+    entries = words.select("chunk", "local", "word").join(classed, "word").select("chunk", "local", "c", "code", "x")
     none = lambda name, t: F.lit(None).cast(t).alias(name)
-    both = entries.select("chunk", "local", "c", "cls", "out", "x", none("doc_id", kind), none("held_out", "boolean"), none("ids", "binary")).unionByName(
-        rows.select("chunk", F.lit(1 << 62).alias("local"), none("c", "long"), none("cls", "long"), none("out", "long"), none("x", "long"), "doc_id", "held_out", "ids")
+    both = entries.select("chunk", "local", "c", "code", "x", none("doc_id", kind), none("held_out", "boolean"), none("ids", "binary")).unionByName(
+        rows.select("chunk", F.lit(1 << 62).alias("local"), none("c", "long"), none("code", "long"), none("x", "long"), "doc_id", "held_out", "ids")
     )
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents as inputs and classes; each chunk's dictionary comes first, by local id."""
         now, parts = None, []
         table: np.ndarray | None = None
@@ -195,18 +272,20 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold:
                     if chunks[s] != now:
                         now, parts, table = chunks[s], [], None
                     if not is_doc[s]:
-                        parts.append(np.stack([part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("c", "cls", "out", "x")]))
+                        parts.append(np.stack([part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("c", "code", "x")]))
                         continue
                     if table is None:
-                        table = np.concatenate(parts, 1) if parts else np.zeros((4, 0), np.int64)
-                        c_of, cls_of, out_of, x_of = table
+                        table = np.concatenate(parts, 1) if parts else np.zeros((3, 0), np.int64)
+                        c_of, code_of, x_of = table
                         base_of = np.log10(c_of + 0.5) - norm
-                        inner_of = np.where(c_of > 0, np.log10(c_of + 0.5) - inner[cls_of], 0.0)
-                    cols: list[list] = [[] for _ in range(7)]
-                    for raw, held in zip(part.column("ids").to_pylist(), part.column("held_out").to_pylist(), strict=True):
+                        shared = (c_of > 0) & (code_of < CLASSES)
+                        inner_of = np.where(shared, np.log10(c_of + 0.5) - inner[np.where(shared, code_of, 0)], 0.0)
+                        code_of = np.where(c_of == 1, code_of | ONCE, code_of)
+                    cols: list[list] = [[] for _ in range(6)]
+                    for raw in part.column("ids").to_pylist():
                         ids = np.frombuffer(raw, np.uint32)
                         c, again = c_of[ids], np.concatenate([[False], ids[1:] == ids[:-1]]) if len(ids) else np.zeros(0, bool)
-                        y = np.append(np.where(again, REPEAT, cls_of[ids]), END).astype(np.uint8)
+                        y = np.append(np.where(again, REPEAT, code_of[ids]), END).astype(np.uint16)
                         x = np.concatenate([[START], x_of[ids]]).astype(np.uint16)
                         cols[0].append(len(ids) + 1)
                         cols[1].append(int((c > 0).sum()) + int(ends > 0))
@@ -214,54 +293,82 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold:
                         cols[3].append(float(inner_of[ids][~again].sum()))
                         cols[4].append(x.tobytes())
                         cols[5].append(y.tobytes())
-                        cols[6].append(b"" if held else np.append(np.where(again, REPEAT, out_of[ids]), END).astype(np.uint8).tobytes())
-                    types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.binary()]
-                    yield pa.record_batch([part.column("doc_id"), part.column("held_out"), *(pa.array(v, t) for v, t in zip(cols, types, strict=True))], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "inner", "x", "y", "taught"])
-
-    ENCODED = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, inner double, x binary, y binary, taught binary"
-    encoded = stored(both.repartition("chunk").sortWithinPartitions("chunk", "local").mapInArrow(encode, ENCODED), "encoded")
-    model = spark.sparkContext.broadcast(train(encoded) if total else None)
-
-    def likelihood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        for b in slices(batches, "x", 2 * TOKENS):
-            x, y = _arrays(b, "x", np.uint16), _arrays(b, "y", np.uint8)
-            base = b.column("base_score").to_numpy()
-            p = base if m is None else log_likelihood(m, x, y) / np.log(10) + b.column("inner").to_numpy()
-            n = b.num_rows
-            yield pa.record_batch([*(b.column(k) for k in range(4)), pa.array(np.full(n, total)), b.column("base_score"), pa.array(np.asarray(p, float))], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return encoded.select("doc_id", "held_out", "n_tokens", "n_known", "base_score", "inner", "x", "y").mapInArrow(likelihood, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def _arrays(b: pa.RecordBatch, name: str, kind: type) -> list[np.ndarray]:
-    return [np.frombuffer(v, kind).astype(np.int64) for v in b.column(name).to_pylist()]
-
-
-def train(encoded: DataFrame) -> Gru:
-    """Weights from all training documents: a start on WARM of them on the driver, then one pass
-    of every partition over its own, and the average by tokens."""
-    taught = encoded.where("not held_out").select("doc_id", "x", "taught")
-    some = taught.where(F.octet_length("taught") <= 4096).orderBy(F.xxhash64("doc_id"), "x").limit(WARM).collect()
-    x, y = [np.frombuffer(r["x"], np.uint16).astype(np.int64) for r in some], [np.frombuffer(r["taught"], np.uint8).astype(np.int64) for r in some]
-    freq = np.bincount(np.concatenate([*y, np.arange(CLASSES)]), minlength=CLASSES)
-    trainer = Trainer(Gru.new(INPUTS, HIDDEN, np.log(freq / freq.sum())), WARM_RATE)
+                    types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary()]
+                    yield pa.record_batch([part.column("doc_id"), part.column("held_out"), *(pa.array(v, t) for v, t in zip(cols, types, strict=True))], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "inner", "x", "y"])
+
+    ENCODED = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, inner double, x binary, y binary"
+    # a chunk is its input partition and a number: chunks are dealt in turn, so that none meets another
+    # while there are tasks without one
+    tasks = min(MOST_TASKS, 1 + (rows.agg(F.max(F.shiftright("chunk", 24))).first()[0] or 0))
+    task = F.pmod(F.shiftright("chunk", 24) + F.col("chunk").bitwiseAND((1 << 24) - 1) * 7919, F.lit(tasks)).cast("int")
+    dealt = both.repartitionById(tasks, task).sortWithinPartitions("chunk", "local")
+    return stored(dealt.mapInArrow(look_up, ENCODED), "encoded"), total, codes
+
+
+def blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined, or cut, to about ``limit`` bytes of ``x`` each."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in slices(batches, "x", limit):
+        _, offsets = raw_bytes(b.column("x"))
+        held.append(b)
+        size += int(offsets[-1] - offsets[0])
+        if size >= limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def arrays(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of each document, and ``x`` and ``y`` of all of them one after another."""
+    flat = []
+    for name in ("x", "y"):
+        view, offsets = raw_bytes(b.column(name))
+        flat.append(view[offsets[0] : offsets[-1]].view(np.uint16))
+    return np.diff(offsets) // 2, flat[0], flat[1]
+
+
+def taught(codes: tuple[list[int], list[int]], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Classes and words to be learnt: a word that training sees once is an unknown one."""
+    cls, word = np.array(codes[0], np.int64), np.array(codes[1], np.uint8)
+    once, own = y >= ONCE, y & (ONCE - 1)
+    return np.where(once, UNKNOWN, cls[own]), np.where(once, 0, word[own]).astype(np.uint8)
+
+
+def train(encoded: DataFrame, codes: Codes) -> Gru:
+    """Weights from all training documents: a start on WARM stretches of them on the driver, then
+    one pass of every partition over its own, and the average by tokens."""
+    rows = encoded.where("not held_out").select("n_tokens", "x", "y")
+    stretch = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_tokens") - 1) / STRETCH)))
+    every = rows.withColumn("uid", F.monotonically_increasing_id()).withColumn("at", stretch)
+    at = (F.col("at") * (2 * STRETCH) + 1).cast("int")
+    some = few(every, F.xxhash64("uid", "at"), WARM).select(*[F.substring(F.col(c), at, F.lit(2 * STRETCH)).alias(c) for c in "xy"]).collect()
+    some.sort(key=lambda r: (bytes(r["x"]), bytes(r["y"])))
+    places = (codes.cls, codes.word)
+    lengths = np.array([len(r["x"]) // 2 for r in some], np.int64)
+    x = np.frombuffer(b"".join(r["x"] for r in some), np.uint16)
+    y, w = taught(places, np.frombuffer(b"".join(r["y"] for r in some), np.uint16))
+    freq = np.bincount(np.concatenate([y, np.arange(CLASSES)]), minlength=CLASSES)
+    trainer = Trainer(Gru.new(INPUTS, HIDDEN, np.log(freq / freq.sum()), codes.inner_bias()), WARM_RATE)
     for _ in range(4):
-        trainer.epoch(x, y)
-    start = taught.sparkSession.sparkContext.broadcast(trainer.m.flat())
+        trainer.epoch(lengths, x, y, w)
+    start = encoded.sparkSession.sparkContext.broadcast((trainer.m, places))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, tokens = Trainer(Gru.unflat(start.value, INPUTS, HIDDEN, CLASSES), RATE), 0
-        for b in slices(batches, "x", 2 * TOKENS):
-            tokens += own.epoch(_arrays(b, "x", np.uint16), _arrays(b, "taught", np.uint8))[1]
+        model, known = start.value
+        own, tokens = Trainer(model.unflat(model.flat()), RATE), 0
+        for b in blocks(batches, 2 * TOKENS):
+            lengths, x, y = arrays(b)
+            tokens += own.epoch(lengths, x, *taught(known, y))[1]
         if tokens:
             v = own.m.flat().astype(np.float64)
             yield pa.record_batch([pa.array(np.arange(len(v))), pa.array(v * tokens), pa.array(np.full(len(v), tokens))], ["k", "v", "n"])
 
-    sums = taught.mapInArrow(learn, "k long, v double, n long").groupBy("k").agg((F.sum("v") / F.sum("n")).alias("v")).collect()
+    sums = rows.select("x", "y").mapInArrow(learn, "k long, v double, n long").groupBy("k").agg((F.sum("v") / F.sum("n")).alias("v")).collect()
     if not sums:
         return trainer.m
     v = np.zeros(len(sums))
     for r in sums:
         v[r["k"]] = r["v"]
-    return Gru.unflat(v, INPUTS, HIDDEN, CLASSES)
+    return trainer.m.unflat(v)

@@ -20,39 +20,77 @@ def docs_frame(spark, rows):
 # --- language model -----------------------------------------------------------------------------
 
 
+def network(rng, inputs, hidden, words):
+    """Classes with as many words of their own as given, and one for the rest of each."""
+    inner = np.full((len(words), max(words) + 1), gru.NEVER)
+    for k, n in enumerate(words):
+        inner[k, : n + 1] = rng.normal(0, 1, n + 1)
+    m = gru.Gru.new(inputs, hidden, rng.normal(0, 1, len(words)), inner)
+    m.inner[:] = rng.normal(0, 0.5, m.inner.shape)
+    return m
+
+
 def test_gradients():
     rng = np.random.default_rng(1)
-    m = gru.Gru.new(5, 4, np.zeros(3))
-    for k in ("table", "u", "out", "bias"):
+    m = network(rng, 5, 4, [0, 2, 3])
+    for k in ("table", "u", "out", "bias", "inner", "inner_bias"):
         setattr(m, k, getattr(m, k).astype(np.float64))
-    x, y, h = rng.integers(0, 5, (6, 3)), rng.integers(0, 3, (6, 3)), np.zeros((3, 4))
+    x, y, h = rng.integers(0, 5, (6, 3)), rng.integers(0, 3, (6, 3)), rng.normal(0, 0.3, (3, 4))
+    w = np.array([0, 2, 3])[y] * rng.integers(0, 2, y.shape)
+    fresh = rng.random((6, 3)) < 0.2
     y[5, 1] = -1
     t = gru.Trainer(m, 0.1)
-    g, _, _, n = t.gradients(x, y, h)
-    for k in ("table", "u", "out", "bias"):
-        w = getattr(m, k)
-        for _ in range(4):
-            i = tuple(rng.integers(0, s) for s in w.shape)
-            w[i] += 1e-3
-            a = t.gradients(x, y, h)[2]
-            w[i] -= 2e-3
-            b = t.gradients(x, y, h)[2]
-            w[i] += 1e-3
-            assert (a - b) / 2e-3 / n == pytest.approx(g[k][i], rel=1e-2, abs=1e-5)
-
-
-def test_state_is_carried_across_windows():
+    g, _, _, n = t.gradients(x, fresh, y, w, h)
+    for k in ("table", "u", "out", "bias", "inner", "inner_bias"):
+        v = getattr(m, k)
+        for _ in range(6):
+            i = tuple(rng.integers(0, s) for s in v.shape)
+            if k == "inner_bias" and v[i] < gru.NEVER / 2:
+                continue
+            v[i] += 1e-4
+            a = t.gradients(x, fresh, y, w, h)[2]
+            v[i] -= 2e-4
+            b = t.gradients(x, fresh, y, w, h)[2]
+            v[i] += 1e-4
+            assert (a - b) / 2e-4 / n == pytest.approx(g[k][i], rel=1e-3, abs=1e-7), (k, i)
+
+
+def one_by_one(m, x, y, w):
+    """A document's log probability, a word at a time, by the definition of the network."""
+    k, h, total = m.u.shape[0], np.zeros(m.u.shape[0]), 0.0
+    sigmoid = lambda a: 1 / (1 + np.exp(-a))
+    softmax = lambda o: np.exp(o - o.max()) / np.exp(o - o.max()).sum()
+    for s, c, v in zip(x, y, w, strict=True):
+        a, b = m.table[s].astype(float), h @ m.u
+        z, r = sigmoid(a[:k] + b[:k]), sigmoid(a[k : 2 * k] + b[k : 2 * k])
+        n = np.tanh(a[2 * k :] + r * b[2 * k :])
+        h = z * h + (1 - z) * n
+        total += np.log(softmax(h @ m.out + m.bias)[c]) + np.log(softmax(h @ m.inner[c] + m.inner_bias[c])[v])
+    return total
+
+
+def test_state_is_carried_across_windows(monkeypatch):
     rng = np.random.default_rng(2)
-    m = gru.Gru.new(6, 5, np.zeros(4))
-    x = [rng.integers(0, 6, n) for n in (1, 3, gru.WINDOW, gru.WINDOW + 1, 5 * gru.WINDOW + 7)]
-    y = [rng.integers(0, 4, len(a)) for a in x]
-    got = gru.log_likelihood(m, x, y)
-    for a, b, p in zip(x, y, got, strict=True):
-        h, total = np.zeros((1, 5), np.float32), 0.0
-        for s, c in zip(a, b, strict=True):
-            states, h, _ = gru.forward(m, np.array([[s]]), h)
-            total += float(gru.log_softmax(m, states)[0, c])
-        assert p == pytest.approx(total, rel=1e-4)
+    m = network(rng, 6, 5, [0, 1, 3, 2])
+    monkeypatch.setattr(gru, "LANES", 3)  # several documents in a lane
+    lengths = np.array([1, 3, gru.WINDOW, gru.WINDOW + 1, 5 * gru.WINDOW + 7, 2, 40, 1, 9])
+    x, y = rng.integers(0, 6, lengths.sum()).astype(np.uint16), rng.integers(0, 4, lengths.sum()).astype(np.uint8)
+    w = (np.array([0, 1, 3, 2])[y] * rng.integers(0, 2, len(y))).astype(np.uint8)
+    got = gru.log_likelihood(m, lengths, x, y, w)
+    ends = np.cumsum(lengths)
+    for k, (a, z) in enumerate(zip(ends - lengths, ends, strict=True)):
+        assert got[k] == pytest.approx(one_by_one(m, x[a:z], y[a:z], w[a:z]), rel=1e-4)
+
+
+def test_lanes_hold_every_word_once():
+    rng = np.random.default_rng(3)
+    for size in (1, 5, 700):
+        lengths = rng.integers(1, 90, rng.integers(1, 60))
+        seen = []
+        for live, place, fresh in gru.Lanes(lengths, size).windows():
+            assert place.shape[1] == live and (place >= 0)[fresh].all()
+            seen.append(place[place >= 0])
+        assert sorted(np.concatenate(seen).tolist()) == list(range(lengths.sum()))
 
 
 def check_counts(rows, got):
@@ -79,6 +117,50 @@ def test_counts_and_base_by_hand(spark):
     assert all(math.isfinite(r.score) and r.score <= 0 for r in got)
 
 
+def test_scores_by_hand_and_probabilities_sum_to_one(spark, monkeypatch):
+    """Scores against the definition, a word at a time; and in any state all words, known and unknown,
+    have a probability of one together, or less by the second way to say the word before."""
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(300)] + ["the", "of", "and", "in", "a.", "to"] * 40
+    rows = [(k, " ".join(rng.choices(words, k=rng.randint(0, 60)))) for k in range(80)] + [(100, None), (101, "the the the"), (102, "new newer the")]
+    docs = docs_frame(spark, rows)
+    found, real = {}, lm_score.train
+    monkeypatch.setattr(lm_score, "train", lambda encoded, codes: found.setdefault("m", real(encoded, codes)))
+    got = {r.doc_id: r for r in lm_score.score(docs).collect()}
+    encoded, total, codes = lm_score.encode(docs)
+    m, cls, word = found["m"], np.array(codes.cls), np.array(codes.word)
+    by_id = {r.doc_id: r for r in encoded.collect()}
+    for i, r in by_id.items():
+        x, y = np.frombuffer(r.x, np.uint16), np.frombuffer(r.y, np.uint16) & (lm_score.ONCE - 1)
+        assert got[i].score == pytest.approx(one_by_one(m, x, cls[y], word[y]) / math.log(10) + r.inner, rel=1e-4), i
+        assert (got[i].train_tokens, got[i].n_tokens) == (total, len(y))
+    # shares of the words without a place, by hand from the counts
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    counts = collections.Counter(w for i, t in rows if not held(i) for w in (t or "").lower().split())
+    shares = np.zeros(lm_score.CLASSES)
+    one = {w: next(k for k, t in rows if t and w in t.lower().split()) for w in counts}
+    for w, n in counts.items():
+        at = dict(rows)[one[w]].lower().split()
+        code = np.frombuffer(by_id[one[w]].y, np.uint16)[at.index(w)] & (lm_score.ONCE - 1)
+        if code < lm_score.CLASSES:
+            shares[code] += (n + 0.5) / codes.counts[code, 0]
+    assert all(abs(v - 1) < 1e-9 for v in shares[shares > 0])
+    state = np.random.default_rng(1).normal(0, 0.5, m.u.shape[0])
+    p = np.exp(gru.class_logs(m, state[None].astype(np.float32))[:, 0])
+    assert p.sum() == pytest.approx(1, abs=1e-5)
+    for k in range(lm_score.CLASSES):
+        assert np.exp(gru.inner_logs(m, k, state[None])).sum() == pytest.approx(1, abs=1e-5)
+
+
+def test_frequent_words(spark):
+    rng = random.Random(3)
+    counts = [(f"w{k}".encode(), rng.randint(0, 900)) for k in range(500)] + [(b"top", 10**6)]
+    df = spark.createDataFrame([(bytearray(w), c) for w, c in counts], "word binary, c long").repartition(5)
+    got = lm_score.frequent(df, 100)
+    assert 60 < len(got) <= 100 and got == sorted((r for r in counts if r[1] > 0), key=lambda r: (-r[1], r[0]))[: len(got)]
+    assert lm_score.frequent(df.limit(0), 100) == []
+
+
 def test_no_training_rows(spark):
     held = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 5 == 1)
     (r,) = lm_score.score(docs_frame(spark, [(held, "a b")])).collect()
@@ -92,6 +174,7 @@ def test_held_out_beats_the_base(spark):
     check_counts([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], got)
     held = [r for r in got if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    assert sum(r.score > r.base_score for r in held) / len(held) > 0.8
 
 
 # --- toxicity -----------------------------------------------------------------------------------
