@@ -1,10 +1,11 @@
 """URL verdicts by rules and by a tree of path templates, in DataFrame operations only.
 
-Every path is walked level by level from its host.  At each level a segment that is common
-among the paths below the same node stays as it is, all others become the wildcard ``*``;
-segments below the last level are ``**``.  Branches of one node whose share of bad labels does
-not differ from that of all its branches, as far as a test of proportions can tell, are merged.
-A template is blocked when its smoothed share of bad labels is over a threshold.
+Every path is walked segment by segment from its host, to its end.  At each level a segment that
+is common among the paths below the same node stays as it is, all others become the wildcard
+``*``.  Then, from the deepest level up, branches of one node that lead to the same rest are
+merged to ``{}`` where their shares of bad labels do not differ from that of all of them, as far
+as a test of proportions can tell.  A template is blocked when its smoothed share of bad labels
+is over a threshold.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -22,7 +23,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 @dataclass(frozen=True)
 class Params:
-    levels: int = 3
     #: A segment is kept if it leads to this many urls and to this share of those at its node.
     least: int = 5
     share: float = 0.02
@@ -66,7 +66,10 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, label
     labels; an empty table gives an empty result; other columns are ignored.
 
     Hot hosts: rows are first summed for each (host, path); each level sums before it
-    shuffles, and joins read stored tables, so AQE can split a hot node.
+    shuffles, and joins read stored tables, so AQE can split a hot node.  Below a node with
+    fewer urls than a common segment needs, all further segments are wildcards at once, so there
+    are as many levels as ``least`` urls share, however long a single path is.  The branches of a
+    node are 1 / ``share`` and one at most, so a window over them is bounded.
     """
     url = F.col(url_col)
     base = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), url.alias("url"))
@@ -80,70 +83,96 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, label
     paths = taught.groupBy("host", "path").agg(F.sum("rows").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
     walk = stored(paths.withColumn("segments", segments).withColumn("node", F.lit("")), "level")
-    top = F.lit("")
-    for k in range(params.levels):
-        here = walk.where(F.size("segments") > k).withColumn("segment", F.col("segments")[k])
-        children = stored(here.groupBy("host", "node", "segment").agg(F.sum("n").alias("m")), "children")
-        nodes = children.groupBy("host", "node").agg(F.sum("m").alias("all"))
-        common = stored(children.where(F.col("m") >= params.least).join(nodes, ["host", "node"]).where(F.col("m") >= F.col("all") * params.share).select("host", "node", "segment", F.lit(True).alias("common")), "common")
-        joined = walk.withColumn("segment", F.when(F.size("segments") > k, F.col("segments")[k])).join(common, ["host", "node", "segment"], "left")
-        step = F.when(F.col("segment").isNull(), "").when(F.col("common"), F.concat(F.lit("/"), "segment")).otherwise("/*")
-        walk = stored(joined.withColumn("node", F.concat("node", step)).select("host", "path", "n", "labelled", "bad", "segments", "node"), "level")
-    tail = F.when(F.size("segments") > params.levels, "/**").otherwise("")
-    walk = walk.select("host", "path", "labelled", "bad", F.concat("node", tail).alias("template"))
-    # a branch is the first part of a template; its siblings have the same host and the same rest
-    branch, rest = F.regexp_extract("template", r"(?s)^(/[^/]*)?", 0), F.regexp_extract("template", r"(?s)^(?:/[^/]*)?(.*)$", 1)
-    templates = walk.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    templates = stored(templates.withColumn("branch", branch).withColumn("rest", rest), "templates")
-    pooled = templates.groupBy("host", "rest").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
-    rate = F.col("b") / F.greatest(F.col("l"), F.lit(1))
-    gap = F.abs(F.col("bad") - F.col("labelled") * rate)
-    alike = (F.col("labelled") > 0) & (gap <= params.z * F.sqrt(F.col("labelled") * rate * (1 - rate)))
-    tested = stored(templates.join(pooled, ["host", "rest"]).withColumn("alike", alike | (F.col("labelled") == 0)), "tested")
-    merged = tested.where("alike").groupBy("host", "rest").agg(F.sum("labelled").alias("ml"), F.sum("bad").alias("mb"))
-    both = tested.join(merged, ["host", "rest"], "left")
-    lab, bad = F.when(F.col("alike"), F.col("ml")).otherwise(F.col("labelled")), F.when(F.col("alike"), F.col("mb")).otherwise(F.col("bad"))
+    templates, walk = _merged(_walked(walk, params), params)
+    bad, lab = F.sum("bad"), F.sum("labelled")
     purity = (bad + params.weight * params.prior) / (lab + params.weight)
-    name = F.concat(F.when(F.col("alike") & (F.col("branch") != ""), "/{}").otherwise(F.col("branch")), "rest")
-    verdicts = both.select("host", "template", name.alias("merged"), F.when(purity > params.threshold, "block").otherwise("allow").alias("learnt"))
-    judged = stored(walk.join(verdicts, ["host", "template"]).select("host", "path", F.col("merged").alias("template"), "learnt"), "judged")
+    verdicts = templates.groupBy("host", "parts").agg(F.when(purity > params.threshold, "block").otherwise("allow").alias("learnt"))
+    named = templates.select("host", "template", "parts").join(verdicts, ["host", "parts"])
+    named = named.select("host", "template", F.when(F.size("parts") > 0, F.concat(F.lit("/"), F.array_join("parts", "/"))).otherwise("").alias("merged"), "learnt")
+    judged = stored(walk.join(named, ["host", "template"]).select("host", "path", F.col("merged").alias("template"), "learnt"), "judged")
     out = base.join(judged, ["host", "path"], "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", "learnt").alias("verdict"), "template")
 
 
+def _walked(walk: DataFrame, params: Params) -> DataFrame:
+    """``host, path, labelled, bad, template``: segments kept or made wildcards, level by level."""
+    done, k = [], 0
+    while True:
+        ended = walk.where(F.size("segments") <= k)
+        done.append(ended.select("host", "path", "labelled", "bad", F.col("node").alias("template")))
+        here = walk.where(F.size("segments") > k).withColumn("segment", F.col("segments")[k])
+        children = stored(here.groupBy("host", "node", "segment").agg(F.sum("n").alias("m")), "children")
+        if children.isEmpty():
+            break
+        nodes = children.groupBy("host", "node").agg(F.sum("m").alias("all"))
+        known = children.join(nodes, ["host", "node"])
+        known = stored(known.select("host", "node", "segment", "all", ((F.col("m") >= params.least) & (F.col("m") >= F.col("all") * params.share)).alias("common")), "common")
+        joined = here.join(known, ["host", "node", "segment"])
+        few = F.col("all") < params.least
+        step = F.when(few, F.repeat(F.lit("/*"), F.size("segments") - k)).when(F.col("common"), F.concat(F.lit("/"), "segment")).otherwise("/*")
+        joined = stored(joined.withColumn("few", few).withColumn("node", F.concat("node", step)).select("host", "path", "n", "labelled", "bad", "segments", "node", "few"), "level")
+        done.append(joined.where("few").select("host", "path", "labelled", "bad", F.col("node").alias("template")))
+        walk, k = joined.where("NOT few").drop("few"), k + 1
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return stored(out, "walked")
+
+
+def _merged(walked: DataFrame, params: Params) -> tuple[DataFrame, DataFrame]:
+    """Templates ``host, template, labelled, bad`` with the ``parts`` of what they are merged to,
+    and the paths."""
+    parts = F.filter(F.split("template", "/"), lambda s: s != "")
+    now = walked.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+    now = stored(now.withColumn("parts", parts), "templates")
+    # levels at which templates of one host and depth differ at all: others have nothing to merge
+    at = now.select("host", F.size("parts").alias("size"), F.posexplode("parts").alias("k", "part"))
+    levels = at.groupBy("host", "size", "k").agg((F.min("part") < F.max("part")).alias("differ")).where("differ").select("k").distinct().collect()
+    for k in sorted((r["k"] for r in levels), reverse=True):
+        key = F.concat(F.slice("parts", 1, k), F.array(F.lit("{}")), F.slice("parts", k + 2, F.size("parts")))
+        branches = now.where(F.size("parts") > k).groupBy("host", "parts").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b")).withColumn("key", key)
+        siblings = Window.partitionBy("host", "key")
+        pooled, wrong = F.sum("l").over(siblings), F.sum("b").over(siblings)
+        rate = F.col("wrong") / F.greatest(F.col("pooled"), F.lit(1))
+        gap = F.abs(F.col("b") - F.col("l") * rate)
+        alike = (F.col("l") == 0) | (gap <= params.z * F.sqrt(F.col("l") * rate * (1 - rate)))
+        tested = branches.withColumn("pooled", pooled).withColumn("wrong", wrong).withColumn("alike", alike)
+        tested = tested.withColumn("several", F.sum(F.col("alike").cast("int")).over(siblings) > 1)
+        merge = stored(tested.where("alike AND several").select("host", "parts", "key"), "merge")
+        now = stored(now.join(merge, ["host", "parts"], "left").select("host", "template", "labelled", "bad", F.coalesce("key", "parts").alias("parts")), "templates")
+    return now, walked
+
+
 SQL = r"""
-WITH base AS (
+WITH RECURSIVE base AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
 fit AS (
   SELECT b.*, r.rule, r.verdict AS ruled FROM (SELECT *, row_number() OVER () AS rn FROM base) b LEFT JOIN LATERAL (
     SELECT v.h || v.p AS rule, v.verdict FROM (VALUES ('allow','org','/'), ('block','example.org','/es/'), ('block','example.org','/en/1'), ('allow','com','/fr/'), ('block','com','/de/')) v(verdict, h, p)
     WHERE (b.host = v.h OR ends_with(b.host, '.' || v.h)) AND starts_with(b.path, v.p) ORDER BY length(v.h || v.p) DESC LIMIT 1) r ON true),
-w0 AS (SELECT host, path, count(*) AS n, count(ruled) AS labelled, count(*) FILTER (ruled = 'block') AS bad, list_filter(string_split(path, '/'), lambda s: s <> '') AS segs, '' AS node
+paths AS (SELECT host, path, count(*) AS n, count(ruled) AS labelled, count(*) FILTER (ruled = 'block') AS bad, list_filter(string_split(path, '/'), lambda s: s <> '') AS segs
   FROM fit GROUP BY host, path),
-{levels}
-t AS (SELECT host, path, labelled, bad, node || CASE WHEN len(segs) > {n} THEN '/**' ELSE '' END AS template FROM w{n}),
-g AS (SELECT host, template, sum(labelled) AS labelled, sum(bad) AS bad, regexp_extract(template, '^(/[^/]*)?', 0, 's') AS branch,
-        regexp_extract(template, '^(?:/[^/]*)?(.*)$', 1, 's') AS rest FROM t GROUP BY host, template),
-pooled AS (SELECT host, rest, sum(labelled) AS l, sum(bad) AS b FROM g GROUP BY host, rest),
-tested AS (SELECT g.*, labelled = 0 OR abs(bad - labelled * (b / greatest(l, 1))) <= {z} * sqrt(labelled * (b / greatest(l, 1)) * (1 - b / greatest(l, 1))) AS alike FROM g JOIN pooled USING (host, rest)),
-merged AS (SELECT host, rest, sum(labelled) AS ml, sum(bad) AS mb FROM tested WHERE alike GROUP BY host, rest),
-verdicts AS (SELECT host, template, CASE WHEN alike AND branch <> '' THEN '/{{}}' ELSE branch END || rest AS merged,
-    CASE WHEN (CASE WHEN alike THEN mb ELSE bad END + {weight} * {prior}) / (CASE WHEN alike THEN ml ELSE labelled END + {weight}) > {threshold} THEN 'block' ELSE 'allow' END AS learnt
-  FROM tested LEFT JOIN merged USING (host, rest)),
-judged AS (SELECT t.host, t.path, v.merged AS template, v.learnt FROM t JOIN verdicts v USING (host, template))
+walk AS (SELECT host, path, n, labelled, bad, segs, 0 AS k, [] :: VARCHAR[] AS parts FROM paths
+  UNION ALL
+  SELECT host, path, n, labelled, bad, segs, k + 1, list_append(parts, CASE WHEN m >= {least} AND m >= total * {share} THEN segs[k + 1] ELSE '*' END)
+  FROM (SELECT *, sum(n) OVER (PARTITION BY host, parts, segs[k + 1]) AS m, sum(n) OVER (PARTITION BY host, parts) AS total FROM walk WHERE len(segs) > k)),
+t AS (SELECT host, path, labelled, bad, parts FROM walk WHERE len(segs) = k),
+merging AS (SELECT host, parts AS template, parts, sum(labelled) AS labelled, sum(bad) AS bad, max(max(len(parts))) OVER () AS k FROM t GROUP BY host, parts
+  UNION ALL
+  SELECT host, template, CASE WHEN alike AND least_alike < most_alike THEN key ELSE parts END, labelled, bad, k - 1
+  FROM (SELECT *, min(parts[k]) FILTER (alike) OVER (PARTITION BY host, key) AS least_alike, max(parts[k]) FILTER (alike) OVER (PARTITION BY host, key) AS most_alike
+    FROM (SELECT *, l = 0 OR abs(b - l * (wrong / greatest(pooled, 1))) <= {z} * sqrt(l * (wrong / greatest(pooled, 1)) * (1 - wrong / greatest(pooled, 1))) AS alike
+      FROM (SELECT *, sum(labelled) OVER (PARTITION BY host, parts) AS l, sum(bad) OVER (PARTITION BY host, parts) AS b,
+              sum(labelled) OVER (PARTITION BY host, key) AS pooled, sum(bad) OVER (PARTITION BY host, key) AS wrong
+        FROM (SELECT *, CASE WHEN len(parts) >= k THEN list_concat(parts[1:k - 1], ['{{}}'], parts[k + 1:]) ELSE list_append(parts, '') END AS key FROM merging WHERE k > 0))))),
+merged AS (SELECT host, template, parts, CASE WHEN (sum(bad) OVER own + {weight} * {prior}) / (sum(labelled) OVER own + {weight}) > {threshold} THEN 'block' ELSE 'allow' END AS learnt
+  FROM merging WHERE k = 0 WINDOW own AS (PARTITION BY host, parts)),
+judged AS (SELECT t.host, t.path, CASE WHEN len(m.parts) = 0 THEN '' ELSE '/' || array_to_string(m.parts, '/') END AS template, m.learnt FROM t JOIN merged m ON t.host = m.host AND t.parts = m.template)
 SELECT page_id, host, path, rule, coalesce(ruled, learnt) AS verdict, template FROM fit LEFT JOIN judged USING (host, path)
 """
 
-LEVEL = """
-c{k} AS (SELECT host, node, segs[{k} + 1] AS seg, sum(n) AS m FROM w{k} WHERE len(segs) > {k} GROUP BY ALL),
-k{k} AS (SELECT host, node, seg FROM c{k} JOIN (SELECT host, node, sum(m) AS total FROM c{k} GROUP BY ALL) USING (host, node) WHERE m >= {least} AND m >= total * {share}),
-w{next} AS (SELECT w.host, w.path, w.n, w.labelled, w.bad, w.segs,
-    w.node || CASE WHEN len(w.segs) <= {k} THEN '' WHEN q.seg IS NOT NULL THEN '/' || q.seg ELSE '/*' END AS node
-  FROM w{k} w LEFT JOIN k{k} q ON w.host = q.host AND w.node = q.node AND w.segs[{k} + 1] = q.seg),"""
-
 
 def sql(params: Params = Params()) -> str:
     """The judgement with :data:`RULES` and labels from them, in DuckDB's SQL."""
-    levels = "".join(LEVEL.format(k=k, next=k + 1, least=params.least, share=params.share) for k in range(params.levels))
-    return SQL.format(levels=levels, n=params.levels, z=params.z, weight=params.weight, prior=params.prior, threshold=params.threshold)
+    return SQL.format(least=params.least, share=params.share, z=params.z, weight=params.weight, prior=params.prior, threshold=params.threshold)

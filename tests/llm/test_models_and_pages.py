@@ -391,6 +391,38 @@ def test_url_parts_and_rules(spark):
     assert url_filter.judge(df.limit(0)).count() == 0
 
 
+def test_deep_templates_against_sql(spark):
+    """Branches at every depth, long paths, alone and shared, and merging on several levels."""
+    import duckdb
+
+    rng = random.Random(21)
+    urls = []
+    for _ in range(500):
+        host = rng.choice(["www.example.org", "b.example.org", "x.com", "y.net", "y.net"])
+        first = rng.choice(["es", "en", "de", "fr", "news", "shop"])
+        parts = [first, *(rng.choice(["a", "b", "c", str(rng.randrange(900))]) for _ in range(rng.randrange(6)))]
+        urls.append(f"http://{host}/" + "/".join(parts))
+    urls += [f"http://x.com/de/{'q/' * 10}{k}" for k in range(8)] + ["http://deep.net/" + "/".join(map(str, range(300))), "http://x.com", "http://x.com//", None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    got = url_filter.judge(pages)
+    cols = sorted(got.columns)
+    want = con.execute(f"SELECT {', '.join(cols)} FROM ({url_filter.sql()})").fetchall()
+    rows = [tuple(r) for r in got.select(*cols).collect()]
+    assert sorted(rows, key=repr) == sorted(want, key=repr)
+    names = {r[cols.index("template")] for r in rows}
+    assert any(n.count("/") > 6 for n in names) and any("{}" in n.split("/")[k] for n in names for k in (2, 3) if n.count("/") >= k), names
+
+
+def test_alike_branches_are_merged_at_depth(spark):
+    urls = [(f"http://h.net/s/{kind}/{name}/{k}", int(kind == "ads")) for kind in ("ads", "text") for name in ("p", "q", "r") for k in range(20)]
+    pages = spark.createDataFrame(list(enumerate(u for u, _ in urls)), "page_id long, url string")
+    got = url_filter.judge(pages, labels=spark.createDataFrame(urls[::2], "url string, bad int"))
+    found = {(r.path.split("/")[2], r.template, r.verdict) for r in got.collect()}
+    assert found == {("ads", "/s/ads/{}/*", "block"), ("text", "/s/text/{}/*", "allow")}, found
+
+
 def test_templates_learn_from_labels(spark):
     pages = [(k, f"http://h.net/{'shop' if k % 2 else 'news'}/{k}/item") for k in range(80)] + [(k, f"http://h.net/shop/{k}/item") for k in range(200, 240)]
     labels = [(u, int("/shop/" in u)) for k, u in pages[:60]] + [(None, 1), (pages[0][1], None)]
