@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import drop_since, mark
 from .common import stored
 
 
@@ -23,8 +24,9 @@ def components(edges: DataFrame) -> DataFrame:
     a node with very many links.
     """
     now = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    mark = _mark(now)
-    while mark[0]:
+    seen = _mark(now)
+    while seen[0]:
+        point = mark()
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -32,8 +34,9 @@ def components(edges: DataFrame) -> DataFrame:
         least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         joined = large.join(least, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        now, before = stored(small, "links"), mark
-        mark = _mark(now)
-        if mark == before:
+        now, before = stored(small, "links"), seen
+        drop_since(now.sparkSession, point, now)
+        seen = _mark(now)
+        if seen == before:
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import drop_since, mark
 from .common import stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -96,7 +97,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, label
 
 def _walked(walk: DataFrame, params: Params) -> DataFrame:
     """``host, path, labelled, bad, template``: segments kept or made wildcards, level by level."""
-    done, k = [], 0
+    done, k, point = [], 0, mark()
     while True:
         ended = walk.where(F.size("segments") <= k)
         done.append(ended.select("host", "path", "labelled", "bad", F.col("node").alias("template")))
@@ -116,7 +117,9 @@ def _walked(walk: DataFrame, params: Params) -> DataFrame:
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return stored(out, "walked")
+    out = stored(out, "walked")
+    drop_since(out.sparkSession, point, out)
+    return out
 
 
 def _merged(walked: DataFrame, params: Params) -> tuple[DataFrame, DataFrame]:
