@@ -9,6 +9,10 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Paths of the tables that this process has stored, in order.
+TABLES: list[str] = []
+
+
 def work_dir(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names.
 
@@ -33,9 +37,25 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = folder(spark, label)
     df.write.option("compression", "zstd").parquet(path)
+    TABLES.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """A point in the list of stored tables, for :func:`drop_since`."""
+    return len(TABLES)
+
+
+def drop_since(spark: SparkSession, point: int, *keep: DataFrame) -> None:
+    """Remove the tables that were stored since a mark, but for those that ``keep`` reads.  Only
+    for tables that nothing else will read: all that was made from them is stored itself."""
+    kept = {p.rstrip("/") for df in keep for f in df.inputFiles() for p in (f.rpartition("/")[0],)}
+    for path in TABLES[point:]:
+        if not any(k.endswith(path) for k in kept):
+            remove(spark, path)
+    TABLES[point:] = [p for p in TABLES[point:] if any(k.endswith(p) for k in kept)]
+
+
 def filesystem(spark: SparkSession, path: str) -> tuple[Any, Any]:
     """Hadoop's file system of a path, and the path as it knows it."""
     own = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -151,3 +151,16 @@ def test_streaming(spark, tmp_path):
     (inbox / "b.xml").write_text('<recipe year="8"><id>s2</id></recipe>')
     writer().awaitTermination()
     assert sorted(r.docid for r in engine.query("year >= 7", "recipes").docids.collect()) == [1, 2]
+
+
+def test_stored_tables_are_dropped(spark):
+    from pathlib import Path
+
+    from foliant.storage import TABLES, drop_since, mark, stored
+
+    first, point = stored(spark.range(5), "a"), mark()
+    second = stored(first.where("id > 1"), "b")
+    third = stored(second.where("id > 2"), "c")
+    gone, kept = TABLES[point], TABLES[point + 1]
+    drop_since(spark, point, third)
+    assert TABLES[point:] == [kept] and not Path(gone).exists() and third.count() == 2 and first.count() == 5
