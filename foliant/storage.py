@@ -49,11 +49,12 @@ def mark() -> int:
 def drop_since(spark: SparkSession, point: int, *keep: DataFrame) -> None:
     """Remove the tables that were stored since a mark, but for those that ``keep`` reads.  Only
     for tables that nothing else will read: all that was made from them is stored itself."""
-    kept = {p.rstrip("/") for df in keep for f in df.inputFiles() for p in (f.rpartition("/")[0],)}
+    # a table's folder has a name of its own, however its path is written
+    kept = {f.rsplit("/", 2)[-2] for df in keep for f in df.inputFiles()}
     for path in TABLES[point:]:
-        if not any(k.endswith(path) for k in kept):
+        if path.rsplit("/", 1)[-1] not in kept:
             remove(spark, path)
-    TABLES[point:] = [p for p in TABLES[point:] if any(k.endswith(p) for k in kept)]
+    TABLES[point:] = [p for p in TABLES[point:] if p.rsplit("/", 1)[-1] in kept]
 
 
 def filesystem(spark: SparkSession, path: str) -> tuple[Any, Any]:
