@@ -218,7 +218,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# --- wide fingerprints -------------------------------------------------------------------------
+# wide fingerprints
 
 #: 64-bit words of a wide fingerprint.
 WORDS = 8

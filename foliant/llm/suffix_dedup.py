@@ -94,7 +94,7 @@ def anchor_runs(data: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, n
     return h[anchor[first]], anchor[first], first, last
 
 
-# --- suffix arrays ---------------------------------------------------------------------------
+# suffix arrays
 
 
 def _words(data: np.ndarray) -> np.ndarray:
@@ -217,7 +217,7 @@ def digests(context: bytes, window: int) -> np.ndarray:
     return np.array([xxhash.xxh3_128_digest(context[k : k + window]) for k in range(len(context) - window + 1)], "S16")
 
 
-# --- Spark -----------------------------------------------------------------------------------
+# Spark
 
 
 def _key(text: Column) -> tuple[Column, Column]:

@@ -17,7 +17,7 @@ def docs_frame(spark, rows):
     return spark.createDataFrame([(i, t, 0.0, 1) for i, t in rows], "doc_id long, text string, score double, c long").repartition(3)
 
 
-# --- language model -----------------------------------------------------------------------------
+# language model
 
 
 def network(rng, inputs, hidden, words):
@@ -177,7 +177,7 @@ def test_held_out_beats_the_base(spark):
     assert sum(r.score > r.base_score for r in held) / len(held) > 0.8
 
 
-# --- toxicity -----------------------------------------------------------------------------------
+# toxicity
 
 
 @pytest.fixture(scope="module")
@@ -311,7 +311,7 @@ def test_toxicity_edges(spark):
     assert kept.columns == docs.columns and kept.count() == 6
 
 
-# --- pages ----------------------------------------------------------------------------------------
+# pages
 
 
 @pytest.mark.parametrize(
