@@ -55,7 +55,7 @@ def nation_files(spark: SparkSession, sf_dir: str, by_region: bool = False) -> s
     return root
 
 
-# --- configuration and names ----------------------------------------------------------------------
+# configuration and names
 
 
 def config(spark: SparkSession, sf_dir: str) -> Catalog:
@@ -110,7 +110,7 @@ def xref_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bases(spark, sf_dir)["orders"].cell("partkey", asked)
 
 
-# --- query trees ----------------------------------------------------------------------------------
+# query trees
 
 ASKED = (
     ("a=1", "a=1", 1, 9),
@@ -152,7 +152,7 @@ def docset_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return some.unionByName(none)
 
 
-# --- stores ---------------------------------------------------------------------------------------
+# stores
 
 
 def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,7 +201,7 @@ def store_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.docs(1).withColumn("version", F.lit(1).cast("long")).unionByName(store.docs().withColumn("version", F.lit(2).cast("long")))
 
 
-# --- sources and sinks ----------------------------------------------------------------------------
+# sources and sinks
 
 
 @query(f"SELECT n_nationkey || '.xml' AS name, {CONTENT} AS content FROM nation WHERE n_nationkey BETWEEN 10 AND 19")
@@ -298,7 +298,7 @@ def key_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("docid"), key_text(root, "double").alias("key"), key_text(root / 1e8, "float").alias("small"), key_text(root * 1e6, "double").alias("large"), key_text(F.col("o_custkey"), "int64").alias("whole"))
 
 
-# --- results --------------------------------------------------------------------------------------
+# results
 
 
 def results(spark: SparkSession, sf_dir: str) -> Results:
@@ -318,7 +318,7 @@ def result_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(results(spark, sf_dir).text())), "n long, line string")
 
 
-# --- engine and shell -----------------------------------------------------------------------------
+# engine and shell
 
 WORLD = """<c><documents name="nations" dir="{d}/nations" capacity="30"><indexes>
  <index name="name" type="string"><key>/nation/name</key></index><index name="key" type="int32"><key>/nation/key</key></index>

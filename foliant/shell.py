@@ -43,7 +43,7 @@ class Shell:
         self.engine = Engine(spark, catalog or Catalog(), f"{self.root}/bases", dialect)
         self.commands = {n: getattr(self, f"do_{n}") for n in ("new", "show", "put", "unput", "get", "putdoc", "deldoc", "query", "info")}
 
-    # --- single indexes -----------------------------------------------------------------------
+    # single indexes
 
     def _store(self, name: str) -> Store:
         return Store(self.spark, f"{self.root}/indexes/{name}")
@@ -106,7 +106,7 @@ class Shell:
         for r in asked.join(found, "key", "left").orderBy("n").select(key_text(F.col("key"), kind).alias("text"), "docids").collect():
             yield f"{r['text']}:{r['docids'] or ''}"
 
-    # --- docbases -----------------------------------------------------------------------------
+    # docbases
 
     def do_putdoc(self, rest: str) -> Iterator[str]:
         pattern = os.path.expanduser(rest.strip())
