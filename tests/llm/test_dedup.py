@@ -231,6 +231,26 @@ def test_suffix_array_and_common_prefixes():
             assert min(lcp[x], len(p), len(q)) == n
 
 
+def test_search_sorts_only_windows_whose_hash_recurs(monkeypatch):
+    rng = random.Random(12)
+    for _ in range(200):
+        window = rng.randint(1, 40)
+        base = bytes(rng.choices(range(rng.choice([1, 2, 256])), k=120))
+        contexts = [base[k : k + window + rng.randint(0, 30)] for k in (rng.randint(0, 79) for _ in range(3))]
+        contexts += [bytes(rng.choices(range(rng.choice([2, 256])), k=window + rng.randint(0, 50))) for _ in range(3)]
+        contexts = [x for x in dict.fromkeys(contexts) if len(x) >= window]
+        seen = collections.Counter(x[k : k + window] for x in contexts for k in range(len(x) - window + 1))
+        flags, _ = suffix_dedup.repeated(contexts, window)
+        assert [f.tolist() for f in flags] == [[seen[x[k : k + window]] > 1 for k in range(len(x) - window + 1)] for x in contexts]
+    sorted_, real = [], suffix_dedup.suffix_array
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda data, *a: sorted_.append(len(data)) or real(data, *a))
+    shared = bytes(rng.choices(range(256), k=60))
+    contexts = [bytes(rng.choices(range(256), k=5000)) + shared + bytes(rng.choices(range(256), k=5000)) for _ in range(4)]
+    flags, _ = suffix_dedup.repeated(contexts, 50)
+    assert [np.flatnonzero(f).tolist() for f in flags] == [list(range(5000, 5011))] * 4
+    assert sum(sorted_) <= 4 * 60  # of 40,240 bytes
+
+
 def test_equal_windows_have_equal_anchors():
     rng = random.Random(9)
     shared = bytes(rng.choices(range(256), k=60))
