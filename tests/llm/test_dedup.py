@@ -251,6 +251,19 @@ def test_search_sorts_only_windows_whose_hash_recurs(monkeypatch):
     assert sum(sorted_) <= 4 * 60  # of 40,240 bytes
 
 
+def test_the_passage_stage_reads_common_prefixes_of_ties_alone(monkeypatch):
+    rng = random.Random(13)
+    half = bytes(rng.choices(range(256), k=200))
+    whole = bytes(rng.choices(range(256), k=300))
+    contexts = [bytes(rng.choices(range(256), k=400)) + half + whole[:k] + bytes(rng.choices(range(256), k=400)) for k in (0, 300, 300)]
+    read, real = [], suffix_dedup.kasai
+    monkeypatch.setattr(suffix_dedup, "kasai", lambda data, order, *a: read.append(len(order)) or real(data, order, *a))
+    flags, _ = suffix_dedup.repeated(contexts, 250)
+    # the shared stretch of 500 bytes has 251 windows, that of 200 none
+    assert [np.flatnonzero(f).tolist() for f in flags] == [[], list(range(400, 651)), list(range(400, 651))]
+    assert read == [2 * 251]
+
+
 def test_equal_windows_have_equal_anchors():
     rng = random.Random(9)
     shared = bytes(rng.choices(range(256), k=60))
