@@ -3,9 +3,11 @@ import math
 import os
 import random
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from foliant.llm import gru, html_text, lm_score, toxicity, url_filter
@@ -286,6 +288,24 @@ def test_trigram_counts_by_hand(spark):
     assert got[a * toxicity.N + b] == 1 and got[a] >= 2
 
 
+def test_positions_of_features_take_little_memory():
+    rng = random.Random(3)
+    rows = [[f"^word{rng.randrange(5000)}" for _ in range(rng.randrange(400))] for _ in range(2000)] + [[], ["^word1"]]
+    names = [f"^word{k}" for k in rng.sample(range(5000), 700)]
+    get = {w: k for k, w in enumerate(names)}
+    words = pa.array(rows, pa.list_(pa.string()))
+    expected = [sorted(get[w] for w in own if w in get) for own in rows]
+    assert toxicity.positions(words, pa.array(names)).to_pylist() == expected
+    assert toxicity.positions(words.slice(7, 90), pa.array(names)).to_pylist() == expected[7:97]
+    assert toxicity.positions(words, pa.array([], pa.string())).to_pylist() == [[]] * len(rows)
+    assert toxicity.positions(words[:0], pa.array(names)).to_pylist() == []
+    tracemalloc.start()
+    toxicity.positions(words.slice(0, toxicity.ROWS), pa.array(names))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 8 << 20  # 200,000 words; as Python objects they take over 12 MB
+
+
 def test_held_out_accuracy(spark, tables):
     docs, labels = tables
     got = {r.doc_id: r for r in toxicity.score(docs, labels).collect()}
