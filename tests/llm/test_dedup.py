@@ -264,6 +264,23 @@ def test_the_passage_stage_reads_common_prefixes_of_ties_alone(monkeypatch):
     assert read == [2 * 251]
 
 
+def test_runs_and_spans_are_found_for_many_contexts_at_a_time():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        flags = [rng.random(rng.integers(1, 9)) < 0.6 for _ in range(rng.integers(1, 30))]
+        whole = rng.random(len(flags)) < 0.2
+        want = [(k, *r) for k, f in enumerate(flags) for r in suffix_dedup._runs(f | whole[k]).tolist()]
+        assert list(zip(*(x.tolist() for x in suffix_dedup._lane_runs(flags, whole)), strict=True)) == want
+        row, lo = rng.integers(0, 6, 40), rng.integers(0, 90, 40)
+        hi = lo + rng.integers(1, 9, 40)
+        covered = [sorted({x for r, a, z in zip(row, lo, hi, strict=True) if r == k for x in range(a, z)}) for k in range(6)]
+        got = list(zip(*(x.tolist() for x in suffix_dedup.union(row, lo, hi)), strict=True))
+        assert [[x for r, a, z in got if r == k for x in range(a, z)] for k in range(6)] == covered
+        assert all(r != s or z < b for (r, _, z), (s, b, _) in zip(got, got[1:], strict=False))
+    none = np.zeros(0, np.int64)
+    assert [len(x) for x in suffix_dedup.union(none, none, none)] == [0, 0, 0]
+
+
 def test_equal_windows_have_equal_anchors():
     rng = random.Random(9)
     shared = bytes(rng.choices(range(256), k=60))
