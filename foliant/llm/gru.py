@@ -10,6 +10,7 @@ the next until its document ends.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
 
@@ -21,6 +22,10 @@ WINDOW = 24
 LANES, UPDATES, LEAST = 768, 300, 32
 #: The bias of a word that a class does not have.
 NEVER = -1e9
+#: Rows whose outputs are worked out at a time, so that they stay in a core's cache.
+BLOCK = 1024
+#: Outputs up to this size have exponentials without a maximum taken off: their sums fit 32 bits.
+SAFE = 60.0
 
 
 @dataclass
@@ -53,39 +58,64 @@ class Gru:
         return Gru(**parts)
 
 
-def forward(m: Gru, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool = False):
+class Room:
+    """Arrays that windows use again and again, told by name."""
+
+    def __init__(self, kind: np.dtype):
+        self.kind, self.held = kind, {}
+
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        """Of this shape, with any contents."""
+        size = math.prod(shape)
+        got = self.held.get(name)
+        if got is None or len(got) < size:
+            got = self.held[name] = np.empty(size, self.kind)
+        return got[:size].reshape(shape)
+
+
+def gates(v: np.ndarray) -> np.ndarray:
+    """Columns z, r, n as three tables, so that what is done to a gate runs through memory in order."""
+    return np.ascontiguousarray(v.reshape(len(v), 3, -1).transpose(1, 0, 2))
+
+
+def forward(m: Gru, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, room: Room, keep: bool = False):
     """States after each step of a window: x is (steps, lanes), h the state before; ``fresh`` marks
-    the first words of documents, whose state before is zero."""
+    the first words of documents, whose state before is zero.  Results lie in ``room``."""
     steps, lanes = x.shape
     k = m.u.shape[0]
-    states = np.empty((steps, lanes, k), m.u.dtype)
-    saved = []
+    states = room("states", steps, lanes, k)
+    held = steps if keep else 1
+    g, n, before = room("gates", held, 3, lanes, k), room("new", held, lanes, k), room("before", held, lanes, k)
+    a = room("inputs", 3, lanes, k)
     # sigmoids are 1 / (1 + exp(-a)): the sign is taken to the weights
-    table, u = m.table.copy(), m.u.copy()
-    table[:, : 2 * k] *= -1
-    u[:, : 2 * k] *= -1
+    table, u = gates(m.table), gates(m.u)
+    table[:2] *= -1
+    u[:2] *= -1
     starts = fresh.any(1)
     with np.errstate(over="ignore"):
         for t in range(steps):
-            if starts[t]:
-                h = np.where(fresh[t][:, None], 0, h)
-            a = table[x[t]]
-            b = h @ u
-            g = a[:, : 2 * k] + b[:, : 2 * k]
-            np.exp(g, out=g)
-            g += 1
-            np.reciprocal(g, out=g)
-            z, r, c = g[:, :k], g[:, k:], b[:, 2 * k :]
-            n = r * c
-            n += a[:, 2 * k :]
-            np.tanh(n, out=n)
-            new = h - n
-            new *= z
-            new += n
-            if keep:
-                saved.append((h, z, r, c, n))
-            states[t] = h = new
-    return states, h, saved
+            at = t if keep else 0
+            if keep or starts[t]:
+                before[at] = h
+                h = before[at]
+                if starts[t]:
+                    h[fresh[t]] = 0
+            table.take(x[t], 1, a, "clip")
+            b, new, nn = g[at], states[t], n[at]
+            np.matmul(h, u, out=b)
+            zr = b[:2]
+            zr += a[:2]
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            np.multiply(b[1], b[2], out=nn)
+            nn += a[2]
+            np.tanh(nn, out=nn)
+            np.subtract(h, nn, out=new)
+            new *= b[0]
+            new += nn
+            h = new
+    return states, (before, g, n)
 
 
 def log_softmax(o: np.ndarray) -> np.ndarray:
@@ -102,14 +132,9 @@ def class_logs(m: Gru, states: np.ndarray) -> np.ndarray:
     return log_softmax(o)
 
 
-def by_class(m: Gru, classes: np.ndarray, alive: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Rows of each class that has words of its own; ``alive`` are rows that count."""
-    own = (m.inner_bias[:, 1:] > NEVER / 2).any(1)
-    rows = alive[own[classes[alive]]]
-    order = rows[np.argsort(classes[rows].astype(np.uint8 if len(own) < 256 else np.int64), kind="stable")]
-    edges = np.searchsorted(classes[order], np.arange(len(own) + 1))
-    for k in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
-        yield k, order[edges[k] : edges[k + 1]]
+def by_class(classes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Rows in order of their classes."""
+    return rows[np.argsort(classes[rows].astype(np.uint8 if classes.max(initial=0) < 256 else np.int64), kind="stable")]
 
 
 def inner_logs(m: Gru, k: int, states: np.ndarray) -> np.ndarray:
@@ -119,6 +144,75 @@ def inner_logs(m: Gru, k: int, states: np.ndarray) -> np.ndarray:
     return log_softmax(o)
 
 
+def unshifted(weights: np.ndarray, bias: np.ndarray, peak: float) -> bool:
+    """Whether exponentials of all outputs stay far from the ends of their type, as states are
+    ``peak`` at most; if so, a softmax needs no maximum."""
+    return float((np.abs(weights).sum(-2) * peak + np.where(bias > NEVER / 2, np.abs(bias), 0)).max()) < SAFE
+
+
+def picked(o: np.ndarray, at: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Log probabilities of the outputs at flat places ``at``, one in a column of ``o``.  In ``o`` stays
+    the gradient of their negative sum, but for the second result, which divides each column."""
+    if not safe:
+        o -= o.max(0)
+    flat = o.reshape(-1)
+    hit = flat[at]
+    np.exp(o, out=o)
+    total = o.sum(0)
+    flat[at] -= total
+    return hit - np.log(total), total
+
+
+def outputs(m: Gru, s: np.ndarray, cls: np.ndarray, word: np.ndarray, peak: float, room: Room, grads: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Log probability of each row's class and word, from states ``s`` in order of classes.  With
+    ``grads`` those of the mean loss are added there, and the states' come second."""
+    rows, (k, classes) = len(s), m.out.shape
+    scale = 1 / max(1, rows) if grads is not None else 0.0
+    out, bias = np.ascontiguousarray(m.out.T), m.bias[:, None]
+    ds = room("ds", rows, k) if scale else None
+    got = np.empty(rows)
+    safe = unshifted(m.out, m.bias, peak)
+    for a in range(0, rows, BLOCK):
+        part = s[a : a + BLOCK]
+        o = room("classes", classes, len(part))
+        np.matmul(out, part.T, out=o)
+        o += bias
+        got[a : a + BLOCK], total = picked(o, cls[a : a + BLOCK] * len(part) + np.arange(len(part)), safe)
+        if scale:
+            share = scale / total
+            grads["out"] += (o @ (part * share[:, None])).T
+            grads["bias"] += o @ share
+            back = ds[a : a + BLOCK]
+            np.matmul(o.T, out, out=back)
+            back *= share[:, None]
+    own = (m.inner_bias[:, 1:] > NEVER / 2).any(1)
+    having = np.flatnonzero(own[cls])
+    if not len(having):
+        return got, ds
+    s, cls, word = s[having], cls[having], word[having]
+    edges = np.searchsorted(cls, np.arange(classes + 1))
+    runs = [(c, edges[c], edges[c + 1]) for c in np.flatnonzero(edges[1:] > edges[:-1]).tolist()]
+    e = room("words", m.inner_bias.shape[1], len(having))
+    inner = np.ascontiguousarray(m.inner.transpose(0, 2, 1))
+    for c, a, z in runs:
+        part = e[:, a:z]
+        np.matmul(inner[c], s[a:z].T, out=part)
+        part += m.inner_bias[c][:, None]
+    p, total = picked(e, word * len(having) + np.arange(len(having)), unshifted(m.inner, m.inner_bias, peak))
+    got[having] += p
+    if scale:
+        share = scale / total
+        back, s = room("back", len(having), k), s * share[:, None]
+        for c, a, z in runs:
+            part = e[:, a:z]
+            np.matmul(s[a:z].T, part.T, out=grads["inner"][c])
+            np.matmul(part.T, inner[c], out=back[a:z])
+            np.matmul(part, share[a:z], out=grads["inner_bias"][c])
+        back *= share[:, None]
+        ds[having] += back
+    return got, ds
+
+
 class Lanes:
     """Documents in lanes: the longest first, each to the lane that is shortest so far."""
 
@@ -139,22 +233,28 @@ class Lanes:
         #: place in the flat arrays of each lane's tokens, and whether a document begins there
         self.order = [np.repeat(self.starts[own] - (np.cumsum(lengths[own]) - lengths[own]), lengths[own]) + np.arange(n) for own, n in zip(self.held, self.totals.tolist(), strict=True)]
 
-    def windows(self, size: int = WINDOW) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def windows(self, size: int = WINDOW, longest: int = WINDOW) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """``(lanes that run, places (steps, lanes), fresh)``; a place of -1 is before a lane's start.
 
         All lanes end together: the longest run alone at first, so that the last windows, whose
-        lessons are best remembered, are those of most documents.
+        lessons are best remembered, are those of most documents.  A window in which few lanes run
+        has more steps, ``longest`` at most, and no more places than one of all lanes.
         """
         begins = np.zeros(int(self.lengths.sum()) + 1, bool)
         begins[self.starts] = True
         flat = np.concatenate(self.order) if self.order else np.zeros(0, np.int64)
         at = np.cumsum(self.totals) - self.totals
-        most = int(self.totals.max(initial=0))
-        for t in range(most % size - size if most % size else 0, most, size):
-            live = int(np.searchsorted(-self.totals, t + size - most, side="left"))
-            steps = t + np.arange(size)[:, None] - (most - self.totals[:live])
-            inside = steps >= 0
-            place = np.where(inside, flat[np.where(inside, at[:live] + steps, 0)], -1)
+        most = end = int(self.totals.max(initial=0))
+        cuts = []
+        while end > 0:
+            live = int(np.searchsorted(-self.totals, end - most, side="left"))
+            steps = min(end, max(size, min(longest, size * len(self.totals) // live)))
+            cuts.append((end - steps, steps, live))
+            end -= steps
+        for t, steps, live in reversed(cuts):
+            step = t + np.arange(steps)[:, None] - (most - self.totals[:live])
+            inside = step >= 0
+            place = np.where(inside, flat[np.where(inside, at[:live] + step, 0)], -1)
             yield live, place, begins[place] & inside
 
 
@@ -162,17 +262,17 @@ def log_likelihood(m: Gru, lengths: np.ndarray, x: np.ndarray, y: np.ndarray, w:
     """Natural log probability of each document, complete: of its classes ``y`` and of the words
     ``w`` in them.  Arrays are those of all documents one after another; none is empty."""
     got = np.zeros(len(x))
-    lanes = Lanes(lengths)
+    lanes, room = Lanes(lengths), Room(m.u.dtype)
     h = np.zeros((len(lanes.held), m.u.shape[0]), m.u.dtype)
-    for live, place, fresh in lanes.windows():
-        states, h[:live], _ = forward(m, x[place], fresh, h[:live])
-        flat, rows = place.ravel(), states.reshape(-1, states.shape[-1])
-        alive = np.flatnonzero(flat >= 0)
-        cls = y[flat].astype(np.int64)
-        p = class_logs(m, states)[cls, np.arange(len(flat))].astype(np.float64)
-        for k, own in by_class(m, cls, alive):
-            p[own] += inner_logs(m, k, rows[own])[w[flat[own]], np.arange(len(own))]
-        got[flat[alive]] = p[alive]
+    for live, place, fresh in lanes.windows(longest=WINDOW * LANES):
+        states, _ = forward(m, x[place], fresh, h[:live], room)
+        h[:live] = states[-1]
+        flat = place.ravel()
+        cls = y[flat]
+        order = by_class(cls, np.flatnonzero(flat >= 0))
+        own = flat[order]
+        s = states.reshape(-1, states.shape[-1]).take(order, 0)
+        got[own] = outputs(m, s, cls[order].astype(np.int64), w[own].astype(np.int64), 1.0, room)[0]
     return np.add.reduceat(got, lanes.starts) if len(lengths) else np.zeros(0)
 
 
@@ -181,74 +281,95 @@ class Trainer:
 
     def __init__(self, model: Gru, rate: float):
         self.m, self.rate, self.step = model, rate, 0
-        self.names = [f.name for f in fields(model)]
-        self.first = {k: np.zeros_like(getattr(model, k)) for k in self.names}
-        self.second = {k: np.zeros_like(getattr(model, k)) for k in self.names}
-
-    def update(self, grads: dict[str, np.ndarray], share: float = 1.0) -> None:
-        """A step, as long as the share of the lanes that the gradients come from."""
+        #: all weights one after another; the network's are views of them
+        self.all = model.flat()
+        self.first, self.second = np.zeros_like(self.all), np.zeros_like(self.all)
+        self.shapes = {f.name: getattr(model, f.name).shape for f in fields(model)}
+        self.room = Room(self.all.dtype)
+        for k, v in self.views(self.all).items():
+            setattr(model, k, v)
+
+    def views(self, v: np.ndarray) -> dict[str, np.ndarray]:
+        ends = np.cumsum([math.prod(s) for s in self.shapes.values()])
+        return {k: part.reshape(s) for (k, s), part in zip(self.shapes.items(), np.split(v, ends[:-1]), strict=True)}
+
+    def update(self, g: np.ndarray, share: float = 1.0) -> None:
+        """A step, as long as the share of the lanes that the gradients ``g`` come from, which are spent."""
         self.step += 1
         a, b = 1 - 0.9**self.step, 1 - 0.99**self.step
-        for k in self.names:
-            g = np.clip(grads[k], -1, 1)
-            f, s = self.first[k], self.second[k]
-            f += 0.1 * (g - f)
-            s += 0.01 * (g * g - s)
-            w = getattr(self.m, k)
-            w -= self.rate * share * (f / a) / (np.sqrt(s / b) + 1e-6)
+        f, s, t = self.first, self.second, self.room("update", len(g))
+        np.clip(g, -1, 1, out=g)
+        f *= 0.9
+        np.multiply(g, 0.1, out=t)
+        f += t
+        g *= g
+        g *= 0.01
+        s *= 0.99
+        s += g
+        # rate * (f / a) / (sqrt(s / b) + 1e-6)
+        np.sqrt(s, out=t)
+        t += 1e-6 * math.sqrt(b)
+        np.divide(f, t, out=t)
+        t *= self.rate * share * math.sqrt(b) / a
+        self.all -= t
 
     def gradients(self, x: np.ndarray, fresh: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float, int]:
         """Gradients of a window, its last states, loss and tokens; y is -1 where nothing is."""
-        m, k = self.m, self.m.u.shape[0]
-        states, last, saved = forward(m, x, fresh, h, keep=True)
-        s2, flat, word = states.reshape(-1, k), y.ravel(), w.ravel()
-        lp = class_logs(m, states)
-        rows = np.flatnonzero(flat >= 0)
-        n = max(1, len(rows))
-        loss = -float(lp[flat[rows], rows].sum(dtype=np.float64))
-        d = np.exp(lp)
-        d[flat[rows], rows] -= 1
-        d[:, flat < 0] = 0
-        d /= n
-        grads = {"out": s2.T @ d.T, "bias": d.sum(1), "inner": np.zeros_like(m.inner), "inner_bias": np.zeros_like(m.inner_bias)}
-        dstates = (m.out @ d).T.copy()
-        for c, own in by_class(m, flat, rows):
-            at = np.arange(len(own))
-            part = s2[own]
-            e = inner_logs(m, c, part)
-            loss -= float(e[word[own], at].sum(dtype=np.float64))
-            np.exp(e, out=e)
-            e[word[own], at] -= 1
-            e /= n
-            grads["inner"][c] = part.T @ e.T
-            grads["inner_bias"][c] = e.sum(1)
-            dstates[own] += (m.inner[c] @ e).T
-        dstates = dstates.reshape(states.shape)
-        dx = np.empty((*x.shape, 3 * k), m.u.dtype)
-        du, dh = np.zeros_like(m.u), np.zeros_like(h)
-        ut = m.u.T.copy()
+        g, last, loss, n = self._gradients(x, fresh, y, w, h)
+        return self.views(g), last, loss, n
+
+    def _gradients(self, x: np.ndarray, fresh: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, int]:
+        """The same with all gradients one after another."""
+        m, k, room = self.m, self.m.u.shape[0], self.room
+        peak = max(1.0, float(np.abs(h).max(initial=0)))
+        states, (before, g, nn) = forward(m, x, fresh, h, room, keep=True)
+        flat = y.ravel()
+        order = by_class(flat, np.flatnonzero(flat >= 0))
+        every = np.zeros_like(self.all)
+        grads = self.views(every)
+        got, ds = outputs(m, states.reshape(-1, k).take(order, 0), flat[order].astype(np.int64), w.ravel()[order].astype(np.int64), peak, room, grads)
+        dstates = room("dstates", *states.shape)
+        dstates.fill(0)
+        dstates.reshape(-1, k)[order] = ds
+        # what an error of a new state is times to be one of z, r, n as the state's share sees it, and n
+        p, one = room("factors", len(x), 4, *h.shape), room("one", *states.shape)
+        z, r, c = g[:, 0], g[:, 1], g[:, 2]
+        pz, pr, pc, pn = (p[:, i] for i in range(4))
+        np.subtract(1, z, out=one)
+        np.multiply(nn, nn, out=pn)
+        np.subtract(1, pn, out=pn)
+        pn *= one
+        np.subtract(before, nn, out=pz)
+        pz *= z
+        pz *= one
+        np.multiply(pn, r, out=pc)
+        np.subtract(1, r, out=pr)
+        pr *= pc
+        pr *= c
+        ut = np.ascontiguousarray(gates(m.u).transpose(0, 2, 1))
+        dh, sent = np.zeros_like(h), room("sent", 3, *h.shape)
         starts = fresh.any(1)
         for t in range(len(x) - 1, -1, -1):
-            before, z, r, c, nn = saved[t]
-            dh = dh + dstates[t]
-            dn = dh * (1 - z) * (1 - nn * nn)
-            a = dx[t]
-            a[:, :k] = dh * (before - nn) * z * (1 - z)
-            a[:, k : 2 * k] = dn * c * r * (1 - r)
-            a[:, 2 * k :] = dn * r  # as the state's share sees it
-            du += before.T @ a
-            dh = dh * z + a @ ut
-            a[:, 2 * k :] = dn
+            dh += dstates[t]
+            a = p[t]
+            a *= dh
+            np.matmul(a[:3], ut, out=sent)
+            dh *= z[t]
+            dh += sent[0]
+            dh += sent[1]
+            dh += sent[2]
             if starts[t]:
-                dh = np.where(fresh[t][:, None], 0, dh)
+                dh[fresh[t]] = 0
+        grads["u"][:] = (before.transpose(0, 2, 1)[:, None] @ p[:, :3]).sum(0).transpose(1, 0, 2).reshape(k, 3 * k)
         ids = x.ravel()
         order = np.argsort(ids.astype(np.uint16), kind="stable") if len(m.table) < 65_536 else np.argsort(ids, kind="stable")
         ids = ids[order]
         begin = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        dt = np.zeros_like(m.table)
-        dt[ids[begin]] = np.add.reduceat(dx.reshape(-1, 3 * k)[order], begin, axis=0)
-        grads |= {"u": du, "table": dt}
-        return grads, last, loss, len(rows)
+        dx = room("dx", len(ids), 3, k)
+        for i, v in enumerate((pz, pr, pn)):
+            dx.reshape(*x.shape, 3, k)[:, :, i] = v
+        grads["table"][ids[begin]] = np.add.reduceat(dx.reshape(-1, 3 * k).take(order, 0), begin, axis=0)
+        return every, states[-1], -float(got.sum()), len(got)
 
     def epoch(self, lengths: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, int]:
         """One pass over documents; loss (natural) and number of tokens."""
@@ -257,7 +378,7 @@ class Trainer:
         h = np.zeros((len(lanes.held), self.m.u.shape[0]), self.m.u.dtype)
         for live, place, fresh in lanes.windows():
             inside = place >= 0
-            grads, h[:live], loss, n = self.gradients(np.where(inside, x[place], 0), fresh, np.where(inside, y[place], -1), w[place].astype(np.int64), h[:live])
-            self.update(grads, n / (len(h) * WINDOW))
+            g, h[:live], loss, n = self._gradients(np.where(inside, x[place], 0), fresh, np.where(inside, y[place], -1), w[place], h[:live])
+            self.update(g, n / (len(h) * WINDOW))
             total, tokens = total + loss, tokens + n
         return total, tokens

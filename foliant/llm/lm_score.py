@@ -52,21 +52,41 @@ class Ids(dict):
         return n
 
 
-def spelling(words: list[bytes]) -> np.ndarray:
-    """A unit vector of letter pairs for each word, signs and digits left out."""
-    n = len(words)
+def letter_pairs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair of letters: its bucket, and the place of its word, in order of words; signs and
+    digits are left out."""
     data = np.frombuffer(b"".join(b"\0" + w + b"\0" for w in words), np.uint8)
-    if not n:
-        return np.zeros((0, PAIRS), np.float32)
-    row = np.repeat(np.arange(n), [len(w) + 2 for w in words])
+    row = np.repeat(np.arange(len(words), dtype=np.int32), [len(w) + 2 for w in words])
     letter = (data == 0) | (data >= 97) & (data <= 122) | (data >= 128)
-    data, row = data[letter].astype(np.int64), row[letter]
+    data, row = data[letter].astype(np.uint16), row[letter]
     pair = ((data[:-1] * 31 + data[1:] * 7) ^ (data[:-1] << 3)) % PAIRS
     ok = (row[1:] == row[:-1]) & ((data[1:] > 0) | (data[:-1] > 0))
-    v = np.bincount(row[:-1][ok] * PAIRS + pair[ok], minlength=n * PAIRS).reshape(n, PAIRS).astype(np.float32)
+    return pair[ok], row[:-1][ok]
+
+
+def spelling(words: list[bytes]) -> np.ndarray:
+    """A unit vector of letter pairs for each word."""
+    n = len(words)
+    if not n:
+        return np.zeros((0, PAIRS), np.float32)
+    pair, row = letter_pairs(words)
+    v = np.bincount(row.astype(np.int64) * PAIRS + pair, minlength=n * PAIRS).reshape(n, PAIRS).astype(np.float32)
     return v / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-6)
 
 
+def nearest(words: list[bytes], centre: np.ndarray) -> np.ndarray:
+    """The centre of most spelling in common with each word, the first one if there is none: as all
+    of a word's products have one length in them, its pairs' shares of the centres are added alone."""
+    got = np.zeros(len(words), np.int64)
+    if not words:
+        return got
+    pair, row = letter_pairs(words)
+    begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
+    if len(begin):
+        got[row[begin]] = np.argmax(np.add.reduceat(centre.T.take(pair, 0), begin, axis=0), 1)
+    return got
+
+
 def clusters(words: list[bytes], weight: np.ndarray) -> np.ndarray:
     """Centres of spelling: weighted k-means, begun from far points."""
     v = spelling(words)
@@ -231,7 +251,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     top = frequent(counts, SPELT)
     words_, c_ = [w for w, _ in top], np.array([c for _, c in top], float)
     centre_ = clusters(words_, c_)
-    codes = Codes(words_, c_, _class(np.argmax(spelling(words_) @ centre_.T, 1), c_, total))
+    codes = Codes(words_, c_, _class(nearest(words_, centre_), c_, total))
     centres = spark.sparkContext.broadcast(centre_)
     head = spark.sparkContext.broadcast(({w: k for k, w in enumerate(words_[:HEAD])}, codes.code))
 
@@ -241,7 +261,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
             for s in range(0, b.num_rows, 20_000):
                 part = b.slice(s, 20_000)
                 w, c = part.column(0).to_pylist(), part.column(1).to_numpy()
-                cls = _class(np.argmax(spelling(w) @ centre.T, 1), c, total)
+                cls = _class(nearest(w, centre), c, total)
                 x = np.array([CLASSES + 1 + first[k] if k in first else -1 for k in w], np.int64)
                 y = np.array([code.get(k, -1) for k in w], np.int64)
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(np.where(y >= 0, y, cls)), pa.array(np.where(x >= 0, x, cls))], ["word", "c", "code", "x"])
@@ -252,19 +272,22 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     inner = np.log10(codes.counts[:, 0])
     entries = words.select("chunk", "local", "word").join(classed, "word").select("chunk", "local", "c", "code", "x")
     none = lambda name, t: F.lit(None).cast(t).alias(name)
-    both = entries.select("chunk", "local", "c", "code", "x", none("doc_id", kind), none("held_out", "boolean"), none("ids", "binary")).unionByName(
-        rows.select("chunk", F.lit(1 << 62).alias("local"), none("c", "long"), none("code", "long"), none("x", "long"), "doc_id", "held_out", "ids")
+    # a chunk's dictionary comes before its documents by one number, which is all that is sorted by
+    key = F.shiftleft("chunk", 1)
+    both = entries.select(key.alias("key"), "local", "c", "code", "x", none("doc_id", kind), none("held_out", "boolean"), none("ids", "binary")).unionByName(
+        rows.select((key + 1).alias("key"), none("local", "long"), none("c", "long"), none("code", "long"), none("x", "long"), "doc_id", "held_out", "ids")
     )
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Documents as inputs and classes; each chunk's dictionary comes first, by local id."""
+        """Documents as inputs and classes; each chunk's dictionary comes first, in any order."""
         now, parts = None, []
         table: np.ndarray | None = None
         norm = np.log10(total + 0.5 * (kinds + 1))
         for batch in batches:
             for b in slices(iter([batch]), "ids", TOKENS * 4):
-                chunks, is_doc = b.column("chunk").to_numpy(), b.column("local").to_numpy() == 1 << 62
-                cuts = np.flatnonzero((np.diff(chunks) != 0) | (np.diff(is_doc.astype(np.int8)) != 0)) + 1
+                keys = b.column("key").to_numpy()
+                chunks, is_doc = keys >> 1, (keys & 1) == 1
+                cuts = np.flatnonzero(np.diff(keys)) + 1
                 for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(chunks)], strict=True):
                     if s == e:
                         continue
@@ -272,10 +295,12 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
                     if chunks[s] != now:
                         now, parts, table = chunks[s], [], None
                     if not is_doc[s]:
-                        parts.append(np.stack([part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("c", "code", "x")]))
+                        parts.append(np.stack([part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("local", "c", "code", "x")]))
                         continue
                     if table is None:
-                        table = np.concatenate(parts, 1) if parts else np.zeros((3, 0), np.int64)
+                        entries_, parts = np.concatenate(parts, 1) if parts else np.zeros((4, 0), np.int64), []
+                        table = np.empty((3, entries_.shape[1]), np.int64)
+                        table[:, entries_[0]] = entries_[1:]
                         c_of, code_of, x_of = table
                         base_of = np.log10(c_of + 0.5) - norm
                         shared = (c_of > 0) & (code_of < CLASSES)
@@ -300,8 +325,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     # a chunk is its input partition and a number: chunks are dealt in turn, so that none meets another
     # while there are tasks without one
     tasks = min(MOST_TASKS, 1 + (rows.agg(F.max(F.shiftright("chunk", 24))).first()[0] or 0))
-    task = F.pmod(F.shiftright("chunk", 24) + F.col("chunk").bitwiseAND((1 << 24) - 1) * 7919, F.lit(tasks)).cast("int")
-    dealt = both.repartitionById(tasks, task).sortWithinPartitions("chunk", "local")
+    task = F.pmod(F.shiftright("key", 25) + F.shiftright("key", 1).bitwiseAND((1 << 24) - 1) * 7919, F.lit(tasks)).cast("int")
+    dealt = both.repartitionById(tasks, task).sortWithinPartitions("key")
     return stored(dealt.mapInArrow(look_up, ENCODED), "encoded"), total, codes
 
 

@@ -95,6 +95,54 @@ def test_lanes_hold_every_word_once():
         assert sorted(np.concatenate(seen).tolist()) == list(range(lengths.sum()))
 
 
+def test_a_long_document_takes_few_windows(monkeypatch):
+    """While few lanes run, a window of scoring has more steps instead of as many calls for less."""
+    rng = np.random.default_rng(4)
+    m = network(rng, 6, 5, [0, 1, 3, 2])
+    lengths = np.array([9, 6000, *rng.integers(1, 30, 40)])
+    x, y = rng.integers(0, 6, lengths.sum()).astype(np.uint16), rng.integers(0, 4, lengths.sum()).astype(np.uint8)
+    w = (np.array([0, 1, 3, 2])[y] * rng.integers(0, 2, len(y))).astype(np.uint8)
+    calls, real = [], gru.forward
+    monkeypatch.setattr(gru, "forward", lambda m, x, *more, **named: calls.append(x.size) or real(m, x, *more, **named))
+    got = gru.log_likelihood(m, lengths, x, y, w)
+    assert len(calls) < 6000 / gru.WINDOW / 4 and max(calls) <= gru.LANES * gru.WINDOW
+    ends = np.cumsum(lengths)
+    for k, (a, z) in enumerate(zip(ends - lengths, ends, strict=True)):
+        assert got[k] == pytest.approx(one_by_one(m, x[a:z], y[a:z], w[a:z]), rel=1e-4)
+
+
+def test_large_weights_and_blocks(monkeypatch):
+    """Outputs whose exponentials leave 32 bits, and rows over several blocks."""
+    monkeypatch.setattr(gru, "BLOCK", 7)
+    rng = np.random.default_rng(5)
+    m = network(rng, 6, 5, [0, 1, 3, 2])
+    m.out *= 400
+    m.inner *= 400
+    x, y = rng.integers(0, 6, 50).astype(np.uint16), rng.integers(0, 4, 50).astype(np.uint8)
+    w = (np.array([0, 1, 3, 2])[y] * rng.integers(0, 2, 50)).astype(np.uint8)
+    want = one_by_one(m, x, y, w)
+    assert gru.log_likelihood(m, np.array([50]), x, y, w)[0] == pytest.approx(want, rel=1e-3)
+    assert not gru.unshifted(m.out, m.bias, 1.0) and not gru.unshifted(m.inner, m.inner_bias, 1.0)
+    g, _, loss, n = gru.Trainer(m, 0.1).gradients(x[:, None], np.arange(50)[:, None] == 0, y[:, None].astype(int), w[:, None], np.zeros((1, 5), np.float32))
+    assert n == 50 and loss == pytest.approx(-want, rel=1e-3)
+    assert all(np.isfinite(v).all() for v in g.values())
+
+
+def test_nearest_is_the_dense_product():
+    rng = random.Random(6)
+    words = [b"", b"12", "é".encode(), b"a"] + ["".join(rng.choices("abcdeé1-", k=rng.randint(1, 9))).encode() for _ in range(3000)]
+    centre = lm_score.clusters(words[:200], np.arange(200, 0, -1).astype(float))
+    assert lm_score.nearest([], centre).tolist() == [] and lm_score.nearest([b"1"], centre).tolist() == [0]
+    v = lm_score.spelling(words) @ centre.T
+    got = lm_score.nearest(words, centre)
+    assert np.allclose(v[np.arange(len(words)), got], v.max(1), atol=1e-6)
+    # no dense vector for each word: 256 numbers of 4 bytes would be 1,024 bytes
+    tracemalloc.start()
+    lm_score.nearest(words, centre)
+    assert tracemalloc.get_traced_memory()[1] < 1024 * len(words)
+    tracemalloc.stop()
+
+
 def check_counts(rows, got):
     tokens = lambda t: [*(t or "").encode().lower().split(), None]
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
