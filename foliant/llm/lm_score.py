@@ -270,12 +270,14 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     rest = classed.where(f"c > 0 AND code < {CLASSES}").groupBy("code").agg(F.sum(F.col("c") + 0.5).alias("s")).collect()
     codes.with_rest({r["code"]: r["s"] for r in rest})
     inner = np.log10(codes.counts[:, 0])
-    entries = words.select("chunk", "local", "word").join(classed, "word").select("chunk", "local", "c", "code", "x")
+    # a local id, an input and a code are one number: there are as many of these rows as words in chunks
+    entry = F.shiftleft("local", 32) + F.shiftleft("x", 16) + F.col("code")
+    entries = words.select("chunk", "local", "word").join(classed, "word").select("chunk", "c", entry.alias("entry"))
     none = lambda name, t: F.lit(None).cast(t).alias(name)
     # a chunk's dictionary comes before its documents by one number, which is all that is sorted by
     key = F.shiftleft("chunk", 1)
-    both = entries.select(key.alias("key"), "local", "c", "code", "x", none("doc_id", kind), none("held_out", "boolean"), none("ids", "binary")).unionByName(
-        rows.select((key + 1).alias("key"), none("local", "long"), none("c", "long"), none("code", "long"), none("x", "long"), "doc_id", "held_out", "ids")
+    both = entries.select(key.alias("key"), "entry", "c", none("doc_id", kind), none("held_out", "boolean"), none("ids", "binary")).unionByName(
+        rows.select((key + 1).alias("key"), none("entry", "long"), none("c", "long"), "doc_id", "held_out", "ids")
     )
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,12 +297,12 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
                     if chunks[s] != now:
                         now, parts, table = chunks[s], [], None
                     if not is_doc[s]:
-                        parts.append(np.stack([part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("local", "c", "code", "x")]))
+                        parts.append(np.stack([part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("entry", "c")]))
                         continue
                     if table is None:
-                        entries_, parts = np.concatenate(parts, 1) if parts else np.zeros((4, 0), np.int64), []
-                        table = np.empty((3, entries_.shape[1]), np.int64)
-                        table[:, entries_[0]] = entries_[1:]
+                        (packed, c), parts = np.concatenate(parts, 1) if parts else np.zeros((2, 0), np.int64), []
+                        table = np.empty((3, len(packed)), np.int64)
+                        table[:, packed >> 32] = c, packed & 0xFFFF, packed >> 16 & 0xFFFF
                         c_of, code_of, x_of = table
                         base_of = np.log10(c_of + 0.5) - norm
                         shared = (c_of > 0) & (code_of < CLASSES)
