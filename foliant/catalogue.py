@@ -338,7 +338,7 @@ def unput(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reindex(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings of some documents replaced by freshly extracted ones."""
     touched = Compiler(bases(spark, sf_dir)).query("status = F", "orders")
-    fresh = read(spark, sf_dir, "lineitem").select(F.col("l_discount").alias("key"), F.col("l_orderkey").alias("docid")).join(touched, "docid", "left_semi").select("key", "docid")
+    fresh = index.restrict(read(spark, sf_dir, "lineitem").select(F.col("l_discount").alias("key"), F.col("l_orderkey").alias("docid")), touched)
     return docbase.reindex(index.build(quantities(spark, sf_dir)), fresh, touched)
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from ..storage import dealt, shares, stored
+from . import index
 
 
 class CapacityError(RuntimeError):
@@ -73,7 +74,8 @@ def upsert(docs: DataFrame, batch: DataFrame, capacity: int) -> DataFrame:
 
 def reindex(postings: DataFrame, fresh: DataFrame, docids: DataFrame) -> DataFrame:
     """Postings with those of some documents replaced."""
-    return postings.select("key", "docid").join(docids.select("docid").distinct(), "docid", "left_anti").select("key", "docid").union(fresh.select("key", "docid").distinct())
+    fresh = fresh.select("key", "docid")
+    return index.delete(postings.select("key", "docid"), docids).union(dealt(fresh, "docid", shares(fresh)).distinct())
 
 
 def delete(docs: DataFrame, names: DataFrame) -> DataFrame:

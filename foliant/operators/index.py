@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import dealt, shares
+
 #: Document ids of one bitmap of Spark's ``bitmap_*`` functions.
 BUCKET = 32_768
 
 
 def build(entries: DataFrame) -> DataFrame:
     """Postings as a set; entries without a key are none."""
-    return entries.where("key IS NOT NULL").select("key", "docid").distinct()
+    return dealt(entries.where("key IS NOT NULL").select("key", "docid"), "docid", shares(entries)).distinct()
 
 
 def lists(entries: DataFrame) -> DataFrame:
@@ -82,7 +84,8 @@ def key_range(postings: DataFrame, low: object, high: object) -> DataFrame:
 
 
 def put(postings: DataFrame, entries: DataFrame) -> DataFrame:
-    return postings.select("key", "docid").union(entries.select("key", "docid")).distinct()
+    both = postings.select("key", "docid").union(entries.select("key", "docid"))
+    return dealt(both, "docid", shares(both)).distinct()
 
 
 def unput(postings: DataFrame, entries: DataFrame) -> DataFrame:
@@ -91,7 +94,19 @@ def unput(postings: DataFrame, entries: DataFrame) -> DataFrame:
 
 def delete(postings: DataFrame, docids: DataFrame) -> DataFrame:
     """Without all postings of some documents; keys that become empty vanish."""
-    return postings.join(docids.select("docid").distinct(), "docid", "left_anti")
+    return _by_docid(postings, docids, "left_anti")
+
+
+def restrict(postings: DataFrame, docids: DataFrame) -> DataFrame:
+    """Postings of some documents alone."""
+    return _by_docid(postings, docids, "left_semi")
+
+
+def _by_docid(postings: DataFrame, docids: DataFrame, how: str) -> DataFrame:
+    n, ids = shares(postings, docids), docids.select("docid")
+    if n:  # a task's share of the ids is small enough for a hash table, so no postings are sorted
+        ids = dealt(ids, "docid", n).hint("shuffle_hash")
+    return dealt(postings, "docid", n).join(ids, "docid", how).select(*postings.columns)
 
 
 def duplicates(postings: DataFrame) -> DataFrame:

@@ -84,6 +84,25 @@ def test_random_round_trip(spark, tmp_path, kind):
     assert {(r.key, r.docid) for r in index.delete(again, gone).collect()} == left
 
 
+def test_a_task_has_no_more_postings_in_a_larger_index(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr("foliant.storage.SHARE", 20_000, raising=False)
+    most = []
+    for n in (40_000, 160_000):
+        ids = spark.range(n).select((F.col("id") % 7).cast("double").alias("key"), F.floor(F.col("id") / 2).alias("docid"))
+        ids.union(ids.where("docid % 5 = 0")).coalesce(1).write.parquet(str(tmp_path / str(n)))
+        table = spark.read.parquet(str(tmp_path / str(n)))
+        touched = table.where("docid % 3 = 0").select("docid")
+        fresh = index.restrict(table.withColumn("key", F.col("key") + 100), touched)
+        out = docbase.reindex(index.build(table), fresh, touched)
+        want = {(i % 7 + (100.0 if i // 2 % 3 == 0 else 0.0), i // 2) for i in range(n)}
+        got = out.collect()
+        assert {(r.key, r.docid) for r in got} == want and len(got) == len(want)
+        most.append(max(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()))
+    assert most[1] < 2 * most[0]
+
+
 def test_store_guards_against_lost_updates(spark, tmp_path):
     s = Store(spark, str(tmp_path / "s"))
     one = spark.createDataFrame([(1, 1)], "key int, docid long")
