@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 
 SPACES = " \t\n\x0b\f\r"
 WHOLE = r"^[ \t\n\x0B\f\r]*([+-]?[0-9]+)"
+#: Of numbers of 18 digits at most, which no type saturates: sign and digits; of longer ones: digits, sign.
+SHORT = r"^[ \t\n\x0B\f\r]*([+-]?0*[0-9]{1,18})(?![0-9])"
+LONG = r"^[ \t\n\x0B\f\r]*[+-]?0*([0-9]+)"
+MINUS = r"^[ \t\n\x0B\f\r]*-"
 REAL = r"^[ \t\n\x0B\f\r]*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
 
 
@@ -33,19 +37,23 @@ def _whole(bits: int, signed: bool, spark: str, saturate_signed: bool = False) -
     top, wrap = 1 << 64, 1 << bits
     high, low = ((1 << 63) - 1, 1 << 63) if saturate_signed else (top - 1, top - 1)
 
+    def number(n: int) -> Column:
+        return F.lit(Decimal(n)).cast("decimal(22,0)")
+
+    def wrapped(v: Column) -> Column:
+        return F.pmod(v + number(wrap // 2), number(wrap)) - number(wrap // 2) if signed else F.pmod(v, number(wrap))
+
     def column(s: Column) -> Column:
-        found = F.regexp_extract(s, WHOLE, 1)
-        digits = F.regexp_replace(found, "^[+-]?0*", "")
-        minus = found.startswith("-")
-        fits = F.when(F.length(digits) <= 20, F.when(digits == "", "0").otherwise(digits)).otherwise("9" * 20).cast("decimal(20,0)")
-        limit = F.when(minus, F.lit(Decimal(low))).otherwise(F.lit(Decimal(high))).cast("decimal(20,0)")
-        over = fits > limit
-        size = F.least(fits, limit).cast("decimal(22,0)")
-        value = F.when(minus & (~over if not saturate_signed else F.lit(True)), -size).otherwise(size)
-        value = F.pmod(value, F.lit(Decimal(wrap)).cast("decimal(22,0)"))
-        if signed:
-            value = F.when(value >= F.lit(Decimal(wrap // 2)), value - F.lit(Decimal(wrap)).cast("decimal(22,0)")).otherwise(value)
-        return F.when(s.isNotNull(), value).cast(spark)
+        # every part is named as few times as can be: Spark computes an expression anew where it is named
+        short = F.nullif(F.regexp_extract(s, SHORT, 1), F.lit("")).cast("bigint")
+        if bits < 64:
+            short = (F.shiftright if signed else F.shiftrightunsigned)(F.shiftleft(short, 64 - bits), 64 - bits)
+        elif not signed:
+            short = wrapped(short.cast("decimal(22,0)"))
+        size = F.left(F.regexp_extract(s, LONG, 1), F.lit(21)).cast("decimal(22,0)")
+        below = -F.least(size, number(low)) if saturate_signed else F.when(size > number(top - 1), number(top - 1)).otherwise(-size)
+        long = wrapped(F.when(s.rlike(MINUS), below).otherwise(F.least(size, number(high))))
+        return F.coalesce(short.cast(spark), F.when(s.rlike(WHOLE), long).when(s.isNotNull(), 0).cast(spark))
 
     def literal(text: str) -> object:
         m = re.match(r"[ \t\n\x0b\f\r]*([+-]?)([0-9]+)", text)

@@ -66,6 +66,18 @@ def test_columns_agree_with_literals(spark):
         assert got == [t.literal(c) for c in CASES], name
 
 
+LONG_CASES = [sign + digits + end for digits in ("0" * 40 + "7", "0" * 30, "9" * 18, "9" * 19, "1" + "0" * 20, "0" * 25 + "9" * 20, str(2**63), str(2**64), str(2**64 - 1)) for sign in ("", "-", " +") for end in ("", "x")] + ["+-5", "- 5", "\x015", "5\x01", "\n 5-LOW"]
+
+
+def test_integers_are_parsed_by_few_searches(spark):
+    df = spark.createDataFrame([(c,) for c in [*LONG_CASES, None]], "s string")
+    for name in ("int8", "uint8", "int32", "uint32", "int64", "uint64"):
+        out = df.select(parse_key(df.s, name).alias("k"))
+        assert [r[0] for r in out.collect()] == [*map(key_type(name).literal, LONG_CASES), None], name
+        # an expression is computed anew wherever it is named
+        assert out._jdf.queryExecution().optimizedPlan().toString().lower().replace("rlike", "regexp").count("regexp") < 12, name
+
+
 def test_known_values():
     assert key_type("INT8").literal("300") == 44
     assert key_type("uint32").literal("-5") == 4294967291
